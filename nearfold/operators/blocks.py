@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, functions as F
 
+#: Up to so many oversized groups (12 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder that all executors share and cut its lineage.
@@ -29,12 +32,17 @@ def block_pairs(df: DataFrame, key: str, row_id: str, cap: int) -> DataFrame:
     blocks, and every unordered pair of blocks is a cell, so each pair of rows meets at least once and
     no task sees the whole group. Adds ``block_a`` and ``block_b``; (key, block_a, block_b) is the cell.
     """
-    big = (
+    big = cut(
         df.groupBy(key)
         .count()
         .filter(F.col("count") > cap)
         .select(key, F.ceil(F.col("count") / cap).cast("int").alias("_blocks"))
     )
+    groups = big.count()
+    if not groups:
+        return df.withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
+    if groups <= BROADCAST_GROUPS:
+        big = F.broadcast(big)
     b = F.coalesce(F.col("_blocks"), F.lit(1))
     own = F.pmod(F.xxhash64(row_id), F.col("_n")).cast("int")
     return (
