@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.sessions import table
-from . import bisect, cooccur, mih, percentiles, topn
+from . import bisect, cooccur, leaks, mih, mixing, percentiles, splitting, topn
 from .oracle import ORACLE
 
 METRICS = ["total_us", "io_us", "n_ios"]
@@ -81,6 +81,41 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return bisect.describe_clusters(bisect.bisecting_clusters(_held_rows(spark, d), "id", "cur_row", 64, 2.0), 3)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), window=12).select("doc_id", "item_id")
+
+
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks of 16 words with at most one word changed, added or dropped."""
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), window=16, max_edits=1)
+
+
+def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = mixing.sized_documents(table(spark, d, "documents"))
+    return sized, mixing.rates(mixing.source_sizes(sized, table(spark, d, "mix_targets")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _rated(spark, d)[1].filter("short").select("source")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(*_rated(spark, d))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized, rated = _rated(spark, d)
+    return mixing.mix_report(rated, mixing.mix(sized, rated))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.token_counts(table(spark, d, "documents"), above=1024).select("doc_id").distinct()
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "documents"), limit=1024, overlap=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
