@@ -120,7 +120,7 @@ def _grid(q: DataFrame, b: DataFrame, k: int, metric: str, skip_self: bool, bloc
     other = F.pmod(F.xxhash64("id"), F.lit(side)).cast("int")
     right = b.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), other.alias("j"))
 
-    def cell(qs: pa.Table, bs: pa.Table) -> pa.Table:
+    def cell(qs, bs):
         near = Nearest(qs.column("id").to_numpy(), matrix(qs.column("vec")), k, metric, skip_self)
         if qs.num_rows and bs.num_rows:
             near.add(bs.column("id").to_numpy(), matrix(bs.column("vec")))
