@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Up to so many oversized groups (12 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder that all executors share and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a local session without that setting
-    gets a temporary folder, since there driver and executors are one machine.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session without that setting gets a temporary folder, since
+    there driver and executors are one machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
         if configured is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="nearfold-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder that all executors share and cut its lineage."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def floor_percentiles(rows: DataFrame, value: str, points: list[float], by: list[str] | None = None) -> DataFrame:
@@ -102,3 +102,27 @@ def bfs_levels(graph: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
             return grown
         seen = grown
     return seen
+
+
+def simulate_aggregate_recall(spark: SparkSession, k_total: int, k: int, parts: int, recalls: list[float], rounds: int = 10_000, seed: int = 1) -> DataFrame:
+    """(recall): expected recall of the ``k_total`` nearest when each of ``parts`` random partitions returns k results.
+
+    The true neighbours fall into partitions uniformly; of n in one, min(n, k) can be found, at the rate recalls[min(n, k) - 1].
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if len(recalls) < k or min(k_total, k, parts, rounds) < 1:
+        raise ValueError("need positive numbers and a recall for each rank up to k")
+    rate = np.append(0.0, np.asarray(recalls[:k]))
+
+    def run(batches):
+        for b in batches:
+            for block in b.column("id").to_pylist():
+                n = min(1000, rounds - 1000 * block)
+                held = np.minimum(np.random.default_rng([seed, block]).multinomial(k_total, [1 / parts] * parts, n), k)
+                yield pa.RecordBatch.from_arrays([pa.array([float((rate[held] * held).sum() / k_total)]), pa.array([n])], ["s", "n"])
+
+    blocks = -(-rounds // 1000)
+    got = spark.range(0, blocks, 1, min(blocks, 8)).mapInArrow(run, "s double, n long")
+    return got.agg((F.sum("s") / F.sum("n")).alias("recall"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_queries, graph_queries, index_queries  # noqa: F401
+from . import exact_queries, graph_queries, index_queries, system_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
