@@ -57,7 +57,7 @@ def shard_data(spark, d):
     return top2_shards(spark, d).join(base(spark, d).select("id", "label"), "id").select("shard", "id", "label")
 
 
-@query(f"WITH {_NEAR} SELECT center AS shard, round(1.1 * (count(*) * 64 * 4 + count(*) * 64 * 4 * 1.3 + count(*) * 8 + count(*) * 24), 3) AS bytes FROM n WHERE rank <= 2 GROUP BY 1")
+@query(f"WITH {_NEAR} SELECT center AS shard, round(1.1::DOUBLE * (count(*) * 64 * 4 + count(*) * 64 * 4 * 1.3::DOUBLE + count(*) * 8 + count(*) * 24), 3) AS bytes FROM n WHERE rank <= 2 GROUP BY 1")
 def ram_estimate(spark, d):
     n = F.col("n")
     return shard_sizes(spark, d).select("shard", F.round(1.1 * (n * 64 * 4 + n * 64 * 4 * F.lit(1.3) + n * 8 + n * 24), 3).alias("bytes"))

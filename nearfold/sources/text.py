@@ -11,12 +11,14 @@ from ..operators.blocks import cut
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, value): the lines of one text file, numbered from 0 in file order. Splits are counted, not sorted."""
-    parts = cut(spark.read.text(path).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sums = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per split
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1
-    return parts.join(F.broadcast(sums.select("_p", before.alias("_b"))), "_p").select((F.col("_b") + place).cast("long").alias("id"), "value")
+    """(id, value): the lines of a text file, or of a folder's files in order of name, numbered from 0. Splits are counted, not sorted."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias("_f"), m["file_block_start"].alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    parts = cut(lines)
+    sums = parts.groupBy("_f", "_s").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per split
+    place = F.row_number().over(Window.partitionBy("_f", "_s").orderBy("_i")) - 1
+    return parts.join(sums.select("_f", "_s", before.alias("_b")), ["_f", "_s"]).select((F.col("_b") + place).cast("long").alias("id"), "value")
 
 
 def read_tsv(spark: SparkSession, path: str, element: str = "float") -> DataFrame:

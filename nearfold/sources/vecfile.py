@@ -114,7 +114,7 @@ class VecReader(DataSourceReader):
 
     def pushFilters(self, filters: list) -> Iterator:
         for f in filters:
-            if self.kind in ("bin", *_ROWED) and getattr(f, "attribute", None) == ("id",) and isinstance(f.value, int):
+            if self.kind in ("bin", *_ROWED) and getattr(f, "attribute", None) == ("id",) and isinstance(getattr(f, "value", None), int):
                 v = f.value
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
                     self.low = max(self.low, v + isinstance(f, GreaterThan))
