@@ -45,10 +45,11 @@ def cooccurrence(
     usable = counts.join(totals, "_s").filter(F.col("n_i") * F.lit(float(min_lift)) <= F.col("n"))
 
     kept = members.join(usable.select("_s", "_i"), ["_s", "_i"], "left_semi")
-    left = kept.select("_s", "_b", F.col("_i").alias("id_a"))
-    right = kept.select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.col("_i").alias("id_b"))
+    # Both sides are the same plan, so that one exchange serves them.
+    left, right = kept.select("_s", "_b", "_i").alias("l"), kept.select("_s", "_b", "_i").alias("r")
     pairs = (
-        left.join(right, (F.col("_s") == F.col("_s2")) & (F.col("_b") == F.col("_b2")) & (F.col("id_a") < F.col("id_b")))
+        left.join(right, F.expr("l._s = r._s and l._b = r._b and l._i < r._i"))
+        .select(F.col("l._s").alias("_s"), F.col("l._i").alias("id_a"), F.col("r._i").alias("id_b"))
         .groupBy("_s", "id_a", "id_b")
         .agg(F.count("*").alias("n_ab"))
         .filter(F.col("n_ab") >= min_count)
