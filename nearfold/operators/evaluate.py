@@ -75,6 +75,13 @@ def range_ratio(result: DataFrame, truth: DataFrame) -> DataFrame:
     return sizes.select("returned", "hits", "wanted", (F.col("returned") / w).alias("returned_ratio"), (F.col("hits") / w).alias("hit_ratio"))
 
 
+def remap_truth(truth: DataFrame, tags: DataFrame) -> DataFrame:
+    """(query_id, rank, id, distance) with ids replaced by their tags (id, tag); tag 0 is hidden and drops out, ranks close up."""
+    kept = truth.join(tags.select("id", "tag").filter("tag is not null and tag <> 0"), "id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "tag"))
+    return kept.select("query_id", rank.alias("rank"), F.col("tag").alias("id"), "distance")
+
+
 def degree_stats(graph: DataFrame) -> DataFrame:
     """(max_degree, avg_degree, min_degree, below_two) of a graph (id, nbrs)."""
     d = F.size("nbrs")

@@ -311,3 +311,19 @@ def search_live_tags(spark, d):
     kept = knn(spark, d, "l2", 30).join(live, "id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
     return kept.select("query_id", rank.alias("rank"), "tag").filter(F.col("rank") <= 10)
+
+
+@query(f"""WITH {BASE}, {sql_knn(sql_l2('q.vec', 'b.vec'))}, t AS (SELECT query_id, rank, id % 5 * 1000 + id AS tag, id % 5 AS h, distance FROM knn)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, tag AS id, round(distance, 6) AS distance FROM t WHERE h <> 0""")
+def truth_by_tags(spark, d):
+    """A truth set with places replaced by tags; tag 0 is hidden."""
+    i = F.col("id")
+    tags = base(spark, d).select("id", F.when(i % 5 == 0, 0).otherwise(i % 5 * 1000 + i).cast("long").alias("tag"))
+    return rounded(evaluate.remap_truth(knn(spark, d), tags), "distance")
+
+
+@query(f"WITH {BASE} SELECT id, list_transform(list_zip(vec, list_transform(vec, lambda x: 0.5::DOUBLE * x)), lambda x: round(x[1] - x[2], 6)) AS vec FROM base")
+def vector_arithmetic(spark, d):
+    """Elementwise difference of two vectors of a row."""
+    b = base(spark, d)
+    return _long(b.select("id", V.scale("vec", 0.5).alias("half"), "vec").select("id", F.zip_with("vec", "half", lambda x, y: x - y).alias("vec")))
