@@ -35,6 +35,8 @@ def value_counts(
     rows where it is null all count. Null keys form a group of their own. ``value_bits`` rounds down
     to so many significant bits. An empty table gives no rows.
     """
+    if {"metric", "value", "n", "p"} & set(keys):
+        raise ValueError("keys must not be named metric, value, n or p")
     named = rows.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metrics)],

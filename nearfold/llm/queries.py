@@ -36,9 +36,9 @@ def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    stats = table(spark, d, "percentile_stats").withColumn(
-        "week_no", F.floor(F.datediff(F.to_date("searched_at"), F.lit("1970-01-05").cast("date")) / 7)
-    )
+    # Weeks begin on Mondays; 1970-01-05 is day 4 of the epoch. No session time zone enters.
+    day = F.floor(F.unix_micros("searched_at") / 86_400_000_000)
+    stats = table(spark, d, "percentile_stats").withColumn("week_no", F.floor((day - 4) / 7))
     return percentiles.value_counts(stats, ["index_tag", "search_l", "week_no"], METRICS, once_by="stat_id", minimum=0.0)
 
 

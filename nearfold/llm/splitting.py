@@ -84,8 +84,8 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     Every token holds at least one byte, so texts of at most ``above`` bytes are passed over unread.
     """
-    long = docs.filter(F.octet_length(text) > above).withColumn(doc_id, F.col(doc_id).cast("long"))
-    counted = range_tokens(text_ranges(long, doc_id, text, 0), path or default_path())
+    long = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length("text") > above)
+    counted = range_tokens(text_ranges(long, "doc_id", "text", 0), path or default_path())
     whole = Window.partitionBy("doc_id")
     before = whole.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -117,9 +117,9 @@ def split_oversized(
     # The last cut is the first after which the rest fits: the fewest slots K with total - (K * stride - reach - overlap) <= limit - margin.
     slots = F.ceil((F.col("total") - (limit - margin) + reach + overlap) / stride)
     left = (overlap + 4) * TOKEN_CHARS
-    named = docs.withColumn(doc_id, F.col(doc_id).cast("long"))
-    long = named.join(counted.select(F.col("doc_id").alias("_long")).distinct(), F.col(doc_id) == F.col("_long"), "left_semi")
-    ranges = text_ranges(long, doc_id, text, left).join(counted.select("doc_id", "range_no", "before", slots.alias("slots")), ["doc_id", "range_no"])
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    long = named.join(counted.select("doc_id").distinct(), "doc_id", "left_semi")
+    ranges = text_ranges(long, "doc_id", "text", left).join(counted.select("doc_id", "range_no", "before", slots.alias("slots")), ["doc_id", "range_no"])
 
     def propose(batches):
         names = ["doc_id", "slot", "kind", "token", "char", "back_token", "back_char"]
@@ -156,7 +156,7 @@ def split_oversized(
         "doc_id", (F.row_number().over(order) - 1).alias("piece_no"), F.coalesce(F.lag("back_char").over(order), F.lit(0)).alias("start"),
         F.col("char").alias("end"), (F.col("token") - F.coalesce(F.lag("back_token").over(order), F.lit(0))).alias("tokens"),
     )
-    texts = long.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
+    texts = long.select("doc_id", F.col("text").alias("_t"))
     return pieces.join(texts, "doc_id").select(
         "doc_id", "piece_no", "start", F.coalesce("end", F.length("_t").cast("long")).alias("end"), "tokens",
         F.when(F.col("end").isNull(), F.substring("_t", F.col("start").cast("int") + 1, F.length("_t")))
