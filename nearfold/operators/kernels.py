@@ -41,10 +41,19 @@ class CandidateList:
         self.nodes = np.zeros(0, np.int64)
         self.dist = np.zeros(0)
         self.done = np.zeros(0, bool)
+        #: The distance of the last node that ``next`` gave.
+        self.last = np.inf
 
     def add(self, nodes: np.ndarray, dist: np.ndarray) -> None:
-        nodes, dist = np.append(self.nodes, nodes), np.append(self.dist, dist)
-        done = np.append(self.done, np.zeros(len(nodes) - len(self.done), bool))
+        if len(self.nodes) == self.size:
+            # Ties with the last may still win by the smaller node.
+            near = dist <= self.dist[-1]
+            if not near.any():
+                return
+            nodes, dist = nodes[near], dist[near]
+        nodes, dist = np.concatenate((self.nodes, nodes)), np.concatenate((self.dist, dist))
+        done = np.zeros(len(nodes), bool)
+        done[: len(self.done)] = self.done
         order = np.lexsort((nodes, dist))[: self.size]
         self.nodes, self.dist, self.done = nodes[order], dist[order], done[order]
 
@@ -52,6 +61,8 @@ class CandidateList:
         """Up to ``n`` nearest nodes not expanded yet, marked as expanded now."""
         open_ = np.flatnonzero(~self.done)[:n]
         self.done[open_] = True
+        if len(open_):
+            self.last = float(self.dist[open_[-1]])
         return self.nodes[open_]
 
 
@@ -66,7 +77,7 @@ def greedy_search(vecs: np.ndarray, nbrs: list[np.ndarray], starts: np.ndarray,
     while len(now := best.next()):
         node = int(now[0])
         expanded.append(node)
-        far.append(float(best.dist[best.nodes == node][0]))
+        far.append(best.last)
         new = nbrs[node][~seen[nbrs[node]]]
         if len(new):
             seen[new] = True
@@ -88,23 +99,27 @@ def robust_prune(vecs: np.ndarray, node: int, pool: np.ndarray, dist: np.ndarray
     dist = dist[usable][first]
     order = np.lexsort((pool, dist))[: p.candidates]
     pool, dist = pool[order], dist[order]
-    factor = np.zeros(len(pool))
+    n = len(pool)
+    factor, taken, later = np.zeros(n), np.zeros(n, bool), np.arange(n)
     chosen: list[int] = []
-    taken = np.zeros(len(pool), bool)
+    near = vecs[pool]
+    # Small pools: all pair distances by one product; large ones: a row for each chosen candidate.
+    sq = np.einsum("ij,ij->i", near, near)
+    grid = np.maximum(sq[:, None] + sq[None] - 2 * (near @ near.T), 0) if n <= 256 else None
     bound = 1.0
     while bound <= p.alpha * (1 + 1e-9) and len(chosen) < p.degree:
-        for i in range(len(pool)):
-            if len(chosen) >= p.degree:
+        start = 0
+        while len(chosen) < p.degree:
+            open_ = np.flatnonzero(~taken[start:] & (factor[start:] <= bound))
+            if not len(open_):
                 break
-            if taken[i] or factor[i] > bound:
-                continue
+            i = start + int(open_[0])
+            start = i + 1
             taken[i] = True
             chosen.append(i)
-            between = distances(vecs, pool, vecs[pool[i]])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(between == 0, np.inf, dist / between)
-            later = np.arange(len(pool)) > i
-            factor = np.where(later & ~taken, np.maximum(factor, ratio), factor)
+            between = grid[i] if grid is not None else np.maximum(sq + sq[i] - 2 * (near @ near[i]), 0)
+            ratio = np.divide(dist, between, out=np.full(n, np.inf), where=between > 0)
+            np.maximum(factor, ratio, out=factor, where=(later > i) & ~taken)
         bound *= 1.2
     return pool[chosen]
 
