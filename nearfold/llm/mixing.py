@@ -15,13 +15,16 @@ def source_sizes(sized: DataFrame, targets: DataFrame, source: str = "source") -
     return wanted.join(sums, "source", "left").fillna(0, ["docs", "tokens", "target_share", "max_repeats"])
 
 
-def rates(sizes: DataFrame) -> DataFrame:
-    """Adds wanted (target_share times the total of all sources), rate (copies per record) and short.
+def rates(sizes: DataFrame, total_tokens: float | None = None) -> DataFrame:
+    """Adds wanted (target_share times the total), rate (copies per record) and short.
+
+    The total is that of all sources, or ``total_tokens``: a smaller mix comes nearer to the target shares where sources are
+    short, at the price of leaving more of the others out.
 
     rate = min(max_repeats, wanted / tokens); short is true where the cap keeps a source below its target.
     Sources without records have rate 0. A source's size then comes as near to its target as the cap lets it.
     """
-    total = sizes.agg(F.sum("tokens").alias("total"))
+    total = sizes.agg((F.sum("tokens") if total_tokens is None else F.lit(float(total_tokens))).alias("total"))
     return (
         sizes.join(F.broadcast(total))  # one row
         .withColumn("wanted", F.col("target_share") * F.col("total"))

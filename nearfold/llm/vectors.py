@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def usable(vec: Column, dim: int) -> Column:
-    """True where a vector has exactly ``dim`` elements, none null or NaN, not all zero."""
-    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+    """True where a vector has exactly ``dim`` elements, none null, NaN or infinite, not all zero."""
+    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(vec, lambda x: x != 0)
     return F.coalesce((F.size(vec) == dim) & ~bad & some, F.lit(False))
 
