@@ -74,3 +74,21 @@ def parse_tsv(line: Column | str, element: str = "float") -> Column:
 
 def format_tsv(vec: Column | str) -> Column:
     return F.array_join(F.transform(_col(vec), lambda x: x.cast("string")), "\t")
+
+
+def rotate(rows: DataFrame, rotation, transposed: bool = False, row_id: str = "id", vec: str = "vec") -> DataFrame:
+    """(id, vec): every vector times a matrix (or its transpose), a product per Arrow batch. Null ids and vectors are left out."""
+    import numpy as np
+
+    from ..operators.exact import select_vectors
+    from .arrow import batch, matrix, vectors
+
+    m = np.asarray(rotation, np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast(m.T if transposed else m)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield batch(id=b.column("id"), vec=vectors(matrix(b.column("vec")) @ shared.value))
+
+    return select_vectors(rows, row_id, vec).mapInArrow(run, "id long, vec array<double>")

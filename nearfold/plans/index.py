@@ -255,8 +255,15 @@ class Catalog:
         good = [int(x[2:]) for x in found if x.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{x}/meta/_SUCCESS"))]
         return sorted(good)
 
-    def save(self, name: str, index: Index) -> int:
-        """A new version. Refused while deletes wait for consolidation."""
+    def meta(self, name: str, version: int | None = None) -> dict:
+        """What was stored beside a version's tables; {} if there is no version."""
+        all_ = self.versions(name)
+        if not all_:
+            return {}
+        return json.loads(self.spark.read.parquet(f"{self.root}/{name}/v={version or all_[-1]}/meta").first().meta)
+
+    def save(self, name: str, index: Index, **notes) -> int:
+        """A new version, with ``notes`` in its meta. Refused while deletes wait for consolidation."""
         if index.hidden is not None:
             raise ValueError("consolidate before saving")
         version = (self.versions(name) or [0])[-1] + 1
@@ -267,7 +274,7 @@ class Catalog:
         if index.book:
             b = index.book
             book = {"offsets": b.offsets, "centers": [c.tolist() for c in b.centers], "centroid": b.centroid.tolist(), "rotation": None if b.rotation is None else b.rotation.tolist()}
-        meta = {"params": asdict(index.params), "centers": index.centers.tolist(), "book": book, "largest_norm": index.largest_norm, "rows": index.rows.count()}
+        meta = {"params": asdict(index.params), "centers": index.centers.tolist(), "book": book, "largest_norm": index.largest_norm, "rows": index.rows.count(), **notes}
         self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
         return version
 
@@ -277,7 +284,7 @@ class Catalog:
         if not all_ or version is not None and version not in all_:
             raise ValueError(f"no such version of {name}; there are {all_}")
         at = f"{self.root}/{name}/v={version or all_[-1]}"
-        meta = json.loads(self.spark.read.parquet(f"{at}/meta").first().meta)
+        meta = self.meta(name, version)
         t = {x: self.spark.read.parquet(f"{at}/{x}") for x in _TABLES}
         n = t["rows"].count()
         lay = t["layout"].agg(F.count("*"), F.countDistinct("logical_id"), F.countDistinct("physical_id"), F.min("physical_id"), F.max("physical_id")).first()
@@ -292,3 +299,22 @@ class Catalog:
         index = Index(params, centers=np.array(meta["centers"]), book=book, **t)
         index.largest_norm = meta["largest_norm"]
         return index
+
+
+def sweep(index: Index, queries: DataFrame, truth: DataFrame, k: int, sizes: list[int], pages: bool = False, **options) -> DataFrame:
+    """(L, queries_per_second, comparisons, hops, pages, recall): a search of all queries per list size, timed on the driver.
+
+    ``truth`` as of ``exact.knn_join`` (ties at the k-th count). pages is null unless ``pages`` asks for page search. Times
+    hold the start of the job, so they compare batches, not single queries.
+    """
+    import time
+
+    n, out = queries.count(), []
+    for size in sizes:
+        begin = time.perf_counter()
+        found = cut((index.page_search if pages else index.search)(queries, k, size, **options))
+        took = time.perf_counter() - begin
+        first = found.filter("rank = 1").agg(F.avg("comparisons"), F.avg("hops"), F.avg("pages") if pages else F.lit(None).cast("double")).first()
+        recall = evaluate.recall_at(found, truth, k).first().recall
+        out.append((size, n / took, *first, recall))
+    return index.rows.sparkSession.createDataFrame(out, "L int, queries_per_second double, comparisons double, hops double, pages double, recall double")

@@ -104,3 +104,12 @@ def test_percentiles_use_the_floor_rule(spark):
     d = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 3]] + [(None,)], "v double")
     got = {r.p: r.value for r in evaluate.floor_percentiles(d, "v", [0.0, 0.5, 1.0]).collect()}
     assert got == {0.0: 1.0, 0.5: 3.0, 1.0: 5.0}
+
+
+def test_rotate_there_and_back(spark):
+    x = np.random.default_rng(1).standard_normal((30, 5))
+    r, _ = np.linalg.qr(np.random.default_rng(2).standard_normal((5, 5)))
+    d = frame(spark, x)
+    turned = V.rotate(d, r)
+    assert np.allclose([t.vec for t in turned.orderBy("id").collect()], x @ r)
+    assert np.allclose([t.vec for t in V.rotate(turned, r, transposed=True).orderBy("id").collect()], x)

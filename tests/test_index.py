@@ -202,6 +202,15 @@ def test_index_reports_the_metric_and_is_kept_in_versions(spark, data, metric, t
         cat.load("y")
 
 
+def test_sweep(data):
+    _, b = data
+    q = b.filter("id % 20 = 0")
+    index = I.build_index(b, I.IndexParams(8, build=P, shards=2))
+    for pages in (False, True):
+        t = I.sweep(index, q, exact.knn_join(q, b, 5), 5, [5, 40], pages).orderBy("L").collect()
+        assert [r.L for r in t] == [5, 40] and t[1].recall >= 95 and t[1].comparisons >= t[0].comparisons and (t[0].pages is not None) == pages
+
+
 def test_index_life_cycle(spark, data, tmp_path):
     _, b = data
     b = b.filter("id > 0")

@@ -121,3 +121,39 @@ def test_sliding_window_restarts(spark, tmp_path):
     window.run_available(stream())
     assert sorted((r.seq, r.id) for r in window.latest(spark, out).collect()) == [(s, s % 30) for s in range(80, 100)]
     assert window.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_index_follows_a_stream(spark, tmp_path):
+    from nearfold.operators import evaluate
+    from nearfold.operators.kernels import BuildParams
+    from nearfold.plans.index import Catalog, IndexParams
+    from nearfold.streaming import updates
+
+    x = np.random.default_rng(4).standard_normal((260, 6))
+    rows = [(i, "insert", i, [float(y) for y in x[i]]) for i in range(260)]
+    schema = "seq long, op string, id long, vec array<double>"
+    src, at = str(tmp_path / "in"), str(tmp_path / "at")
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    params = IndexParams(6, build=BuildParams(degree=10, list_size=24), shards=2)
+    stream = lambda w: updates.maintain(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), cat, "x", params, at, w)
+    spark.createDataFrame(rows[:150], schema).coalesce(1).write.parquet(src)
+    window.run_available(stream(None))
+    ops = [*rows[150:260], (1000, "delete", 7, None), (1001, "delete", 8, None), (1002, "insert", 8, [9.0] * 6), (1003, "delete", 5000, None)]
+    spark.createDataFrame(ops, schema).coalesce(1).write.mode("append").parquet(src)
+    window.run_available(stream(None))
+    assert cat.versions("x") == [1, 2]
+    index = cat.load("x")
+    x[8] = 9
+    live = [i for i in range(1, 260) if i != 7]
+    b = frame(spark, x[live], live)
+    assert sorted(r.id for r in index.rows.collect()) == live
+    q = b.filter("id % 10 = 1")
+    assert evaluate.recall_at(index.search(q, 5, 24), exact.knn_join(q, b, 5), 5).first().recall >= 95
+    # A sliding window over the same rows, from its own start.
+    cat2 = Catalog(spark, str(tmp_path / "cat2"))
+    parts = str(tmp_path / "in2")
+    for k in range(1, 261, 65):
+        spark.createDataFrame([r for r in rows[k : k + 65]], schema).coalesce(1).write.mode("append").parquet(parts)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    window.run_available(updates.maintain(s, cat2, "w", params, str(tmp_path / "at2"), 100))
+    assert sorted(r.id for r in cat2.load("w").rows.collect()) == list(range(160, 260))
