@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,14 +17,19 @@ def default_path() -> str:
     return os.environ.get("NEARFOLD_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str):
-    """The byte-level BPE of a file of base64 tokens and ranks; kept once per worker process."""
+    """The byte-level BPE of a file of base64 tokens and ranks; kept once per worker process.
+
+    This module travels inside the jobs, so what a process keeps is held by the tokenizer's own module.
+    """
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kept = tiktoken.__dict__.setdefault("_nearfold_kept", {})
+    if path not in kept:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        kept[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[path]
 
 
 def count(text: str | None, path: str) -> int:
