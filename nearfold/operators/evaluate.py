@@ -6,17 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def floor_percentiles(rows: DataFrame, value: str, points: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by..., p, value): v[floor(p * n)] of the n values in order, p = 1 the largest; nulls do not count.
+    """(by..., p, value): v[floor(p * n)] of the n values in order, p = 1 the largest; nulls and NaN do not count.
 
-    Values are reduced to counts first, so a group is a window over its distinct values, not its rows.
+    Values are reduced to counts, and counts to sums per range of values (64 ranges per doubling), over which the offsets
+    run. A running sum is only taken inside the ranges that hold a wanted rank, so no task sorts a whole group.
     """
     keys = by or []
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = w.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = counts.withColumn("_upto", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(w)).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    rank = F.least(F.floor(F.col("p") * F.col("_n")), F.col("_n") - 1)
-    return at.filter((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))).select(*keys, "p", "value")
+    v = F.col("value")
+    counts = rows.select(*keys, F.col(value).alias("value")).filter(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, "value").agg(F.count("*").alias("_c"))
+    d = v.cast("double")
+    counts = counts.withColumn("_band", F.floor(F.signum(d) * F.log2(1 + F.abs(d)) * 64))
+    bands = counts.groupBy(*keys, "_band").agg(F.sum("_c").alias("_in"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # bands, not rows
+    first = F.coalesce(F.sum("_in").over(whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_in").over(whole)
+    wanted = (
+        bands.withColumn("_first", first).withColumn("_n", total).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+        .withColumn("_rank", F.least(F.floor(F.col("p") * F.col("_n")), F.col("_n") - 1)).filter("_rank >= _first and _rank < _first + _in")
+    )
+    ranks = wanted.groupBy(*keys, "_band").agg(F.first("_first").alias("_first"), F.collect_list(F.struct("p", "_rank")).alias("_ranks"))
+    same = " and ".join(f"c.`{k}` <=> r.`{k}`" for k in [*keys, "_band"])
+    held = counts.alias("c").join(ranks.alias("r"), F.expr(same)).select("c.*", "r._first", "r._ranks")
+    upto = F.col("_first") + F.sum("_c").over(Window.partitionBy(*keys, "_band").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = held.withColumn("_upto", upto).withColumn("_w", F.explode("_ranks"))
+    return found.filter("_w._rank < _upto and _w._rank >= _upto - _c").select(*keys, F.col("_w.p").alias("p"), "value")
 
 
 def truth_with_ties(truth: DataFrame, k: int) -> DataFrame:

@@ -176,9 +176,23 @@ def fast_l2_rank(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return knn_join(queries, base, k, "fast_l2", skip_self=True).select("query_id", "rank", "id")
 
 
+def mean_vector(rows: DataFrame, vec: str = "vec", most: int = 512) -> DataFrame:
+    """(mean): one row with the column-wise mean of all vectors, none for an empty table.
+
+    Up to ``most`` dimensions the means are one aggregate of as many columns, so that tasks send a row each; beyond that
+    elements are exploded and grouped by position.
+    """
+    v = rows.select(F.col(vec).alias("v")).filter("v is not null")
+    one = v.select(F.size("v").alias("n")).first()
+    if one is not None and one.n <= most:
+        return v.agg(*[F.avg(F.col("v")[i].cast("double")).alias(f"m{i}") for i in range(one.n)]).select(F.array(*[f"m{i}" for i in range(one.n)]).alias("mean"))
+    each = v.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return each.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("mean")).filter("size(mean) > 0")
+
+
 def centroid(rows: DataFrame, vec: str = "vec") -> DataFrame:
     """(pos, mean): the column-wise mean of all vectors, positions from 0."""
-    return rows.select(F.posexplode(F.col(vec)).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    return mean_vector(rows, vec).select(F.posexplode("mean").alias("pos", "mean"))
 
 
 def medoid(rows: DataFrame, row_id: str = "id", vec: str = "vec") -> DataFrame:
@@ -186,7 +200,7 @@ def medoid(rows: DataFrame, row_id: str = "id", vec: str = "vec") -> DataFrame:
     from ..functions.distance import l2_squared
 
     v = select_vectors(rows, row_id, vec)
-    mean = centroid(v).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("_c"))
+    mean = mean_vector(v).withColumnRenamed("mean", "_c")
     d = v.join(F.broadcast(mean)).select("id", l2_squared("vec", "_c").alias("distance"))  # one row
     return d.groupBy().agg(F.min(F.struct("distance", "id")).alias("m")).filter("m is not null").select("m.id", "m.distance")
 

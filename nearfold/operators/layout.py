@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 PAGE_BYTES = 4096
 #: Nodes on a co-visit path are tied to the next three, with weight 1 / (1 + gap).
 REACH = 3
+#: Up to so many rows are ordered and cut in one task.
+ONE_TASK = 50_000
 
 
 def nodes_per_page(degree: int, dim: int, element_bytes: int = 4, page_bytes: int = PAGE_BYTES) -> int:
@@ -51,8 +53,8 @@ def visit_counts(paths: DataFrame) -> DataFrame:
 
 
 def hot_nodes(paths: DataFrame, n: int) -> DataFrame:
-    """(id, visits): the n most visited nodes, ties to the smaller id."""
-    return visit_counts(paths).orderBy(F.col("visits").desc(), "id").limit(n)
+    """(id, visits): the n most visited nodes, ties to the smaller id. Above ``ONE_TASK`` rows they are numbered over all tasks."""
+    return first_rows(visit_counts(paths).withColumn("_v", -F.col("visits")), ["_v", "id"], n).select("id", "visits")
 
 
 def path_stats(paths: DataFrame) -> DataFrame:
@@ -78,6 +80,11 @@ def number_globally(rows: DataFrame, order: list, name: str, buckets: int = 64)
     return parts.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_before") + in_part).cast("long")).drop("_p", "_i", "_before")
 
 
+def first_rows(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``: by one task for few, by global numbers for many."""
+    return rows.orderBy(*order).limit(n) if n <= ONE_TASK else number_globally(rows, order, "_place").filter(F.col("_place") < n).drop("_place")
+
+
 def paged(order: DataFrame, per_page: int) -> DataFrame:
     """(logical_id, physical_id, page_no, slot) from (logical_id, physical_id); page 0 is the header."""
     return order.select("logical_id", "physical_id", (F.floor(F.col("physical_id") / per_page) + 1).alias("page_no"), (F.col("physical_id") % per_page).cast("int").alias("slot"))
@@ -151,7 +158,7 @@ def cache_by_levels(graph: DataFrame, start: DataFrame, share: float = 0.1, most
 
     n = graph.select("id").distinct().count()
     cap = int(min(n * share, most if most is not None else n))
-    return bfs_levels(graph, start).orderBy("level", "id").limit(cap).select("id")
+    return first_rows(bfs_levels(graph, start), ["level", "id"], cap).select("id")
 
 
 def write_pages(graph: DataFrame, rows: DataFrame, layout: DataFrame, path: str, partitions: int = 8) -> None:
