@@ -145,11 +145,11 @@ def decode(codes: DataFrame, book: Codebook) -> DataFrame:
     return codes.select("id", "codes").mapInArrow(run, "id long, vec array<double>")
 
 
-def adc_scan(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, metric: str = "l2", skip_self: bool = False, block_rows: int = 1024) -> DataFrame:
+def adc_scan(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, metric: str = "l2", skip_self: bool = False, block_rows: int = 1024, ties: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k rows nearest by table look-up over all codes, by (distance, id).
 
     Queries (id, vec) come in broadcast blocks of about ``block_rows``; a task keeps k rows per query. ip gives minus
-    the inner product.
+    the inner product. With ``ties`` all rows at the k-th distance come too (rows of equal codes tie), and ranks are shared.
     """
     spark = codes.sparkSession
     q = select_vectors(queries, "id", "vec")
@@ -179,13 +179,19 @@ def adc_scan(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, metri
                     rows, found_, value = np.append(rows, r), np.append(found_, own[lo + j]), np.append(value, d[r, j])
                     o = np.lexsort((found_, value, rows))
                     rows, found_, value = rows[o], found_[o], value[o]
-                    keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(ids)))[rows] < k
+                    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(ids)))[rows]
+                    keep = rank < k
+                    if ties:
+                        edge = np.full(len(ids), np.inf)
+                        edge[rows[rank == k - 1]] = value[rank == k - 1]
+                        keep = value <= edge[rows]
                     rows, found_, value = rows[keep], found_[keep], value[keep]
             yield batch(query_id=ids[rows], id=found_, distance=value)
 
         one = codes.select("id", "codes").mapInArrow(scan, "query_id long, id long, distance double")
         found = one if found is None else found.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    order = Window.partitionBy("query_id")
+    rank = F.rank().over(order.orderBy("distance")) if ties else F.row_number().over(order.orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 

@@ -150,9 +150,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distan
 def adc_rerank(spark, d):
     """The 3k best of the scan, ties of the last one included, ordered by full vectors."""
     b, book = base(spark, d), fixed_book(spark, d)
-    scan = pq.adc_scan(asked(b), pq.encode(b, book), book, 20 * K, skip_self=True)
-    edge = scan.filter(F.col("rank") <= 3 * K).groupBy("query_id").agg(F.max("distance").alias("_e"))
-    near = scan.join(edge, "query_id").filter(F.col("distance") <= F.col("_e") + 1e-9)
+    near = pq.adc_scan(asked(b), pq.encode(b, book), book, 3 * K, skip_self=True, ties=True)
     return rounded(pq.rerank(near, asked(b), b, K), "distance")
 
 
