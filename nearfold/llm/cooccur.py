@@ -1,15 +1,24 @@
 """Items that appear together: pair counts, lift and pointwise mutual information per scope.
 
-Baskets are kept as rows, never as arrays, so a huge basket is a skewed join key that adaptive
-execution splits, not an object in one task. Two exact prunings run before pairs are formed. A pair
+Baskets are kept as rows, never as arrays. Two exact prunings run before pairs are formed. A pair
 cannot be counted more often than its rarer item, so items below ``min_count`` drop out; and since
 n_ab <= min(n_a, n_b), a lift n_ab * n / (n_a * n_b) >= L needs max(n_a, n_b) <= n / L, so items in more
-than n / L baskets drop out too. Hot items, whose pairs would be the quadratic part, go this way.
+than n / L baskets drop out too. Hot items go this way.
+
+Hot baskets, whose pairs would be quadratic in a large part of the rows, form no pairs either: up to
+``min_count`` - 1 of the largest baskets of a scope are set aside. A pair that reaches ``min_count`` must then
+occur in at least one other basket, so the others give all candidates, and the baskets set aside only add their counts
+to these, by joins on their items. The result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..operators.blocks import cut
+
+#: Baskets with more present rows than this may be set aside.
+HOT_ITEMS = 4096
 
 
 def cooccurrence(
@@ -20,6 +29,7 @@ def cooccurrence(
     present: Column | None = None,
     min_count: int = 5,
     min_lift: float = 3.0,
+    hot_items: int = HOT_ITEMS,
 ) -> DataFrame:
     """Pairs of items that share at least ``min_count`` baskets of a scope and reach ``min_lift``.
 
@@ -39,21 +49,20 @@ def cooccurrence(
         F.coalesce(present if present is not None else F.lit(True), F.lit(False)).alias("_p"),
     ).filter(F.col("_s").isNotNull() & F.col("_b").isNotNull())
 
-    totals = base.select("_s", "_b").distinct().groupBy("_s").agg(F.count("*").alias("n"))
+    baskets = base.groupBy("_s", "_b").agg(F.count_if(F.col("_p") & F.col("_i").isNotNull()).alias("_c"))
+    scopes = cut(baskets.groupBy("_s").agg(F.count("*").alias("n"), F.max("_c").alias("_most")))
+    totals = scopes.select("_s", "n")
     members = base.filter(F.col("_p") & F.col("_i").isNotNull()).select("_s", "_b", "_i").distinct()
     counts = members.groupBy("_s", "_i").agg(F.count("*").alias("n_i")).filter(F.col("n_i") >= min_count)
     usable = counts.join(totals, "_s").filter(F.col("n_i") * F.lit(float(min_lift)) <= F.col("n"))
 
     kept = members.join(usable.select("_s", "_i"), ["_s", "_i"], "left_semi")
-    # Both sides are the same plan, so that one exchange serves them.
-    left, right = kept.select("_s", "_b", "_i").alias("l"), kept.select("_s", "_b", "_i").alias("r")
-    pairs = (
-        left.join(right, F.expr("l._s = r._s and l._b = r._b and l._i < r._i"))
-        .select(F.col("l._s").alias("_s"), F.col("l._i").alias("id_a"), F.col("r._i").alias("id_b"))
-        .groupBy("_s", "id_a", "id_b")
-        .agg(F.count("*").alias("n_ab"))
-        .filter(F.col("n_ab") >= min_count)
-    )
+    if min_count > 1 and not scopes.filter(F.col("_most") > hot_items).isEmpty():
+        size = Window.partitionBy("_s").orderBy(F.col("_c").desc(), "_b")
+        hot = cut(baskets.filter(F.col("_c") > hot_items).withColumn("_r", F.row_number().over(size)).filter(F.col("_r") < min_count).select("_s", "_b"))
+        pairs = _with_hot(kept, hot, min_count)
+    else:
+        pairs = _pairs(kept).filter(F.col("n_ab") >= min_count)
     a = usable.select("_s", F.col("_i").alias("id_a"), F.col("n_i").alias("n_a"), "n")
     b = usable.select("_s", F.col("_i").alias("id_b"), F.col("n_i").alias("n_b"))
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
@@ -66,3 +75,24 @@ def cooccurrence(
             lift.alias("lift"), F.log(lift).alias("pmi"),
         )
     )
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(_s, id_a, id_b, n_ab) of distinct (_s, _b, _i). Both sides are the same plan, so that one exchange serves them."""
+    left, right = rows.select("_s", "_b", "_i").alias("l"), rows.select("_s", "_b", "_i").alias("r")
+    met = left.join(right, F.expr("l._s = r._s and l._b = r._b and l._i < r._i"))
+    named = met.select(F.col("l._s").alias("_s"), F.col("l._i").alias("id_a"), F.col("r._i").alias("id_b"))
+    return named.groupBy("_s", "id_a", "id_b").agg(F.count("*").alias("n_ab"))
+
+
+def _with_hot(kept: DataFrame, hot: DataFrame, min_count: int) -> DataFrame:
+    """Pairs of at least ``min_count`` baskets when those of ``hot`` (_s, _b), fewer than that per scope, form no pairs."""
+    per = hot.groupBy("_s").agg(F.count("*").alias("_h"))
+    enough = F.col("n_ab") + F.coalesce("_h", F.lit(0)) >= min_count
+    found = cut(_pairs(kept.join(hot, ["_s", "_b"], "left_anti")).join(per, "_s", "left").filter(enough).drop("_h"))
+    held = cut(kept.join(hot, ["_s", "_b"], "left_semi").select("_s", "_b", "_i"))
+    with_a = found.join(held.withColumnRenamed("_i", "id_a"), ["_s", "id_a"])
+    both = with_a.join(held.withColumnRenamed("_i", "id_b"), ["_s", "_b", "id_b"])
+    more = both.groupBy("_s", "id_a", "id_b").agg(F.count("*").alias("_more"))
+    total = F.col("n_ab") + F.coalesce("_more", F.lit(0))
+    return found.join(more, ["_s", "id_a", "id_b"], "left").select("_s", "id_a", "id_b", total.alias("n_ab")).filter(F.col("n_ab") >= min_count)
