@@ -1 +1 @@
-
+"""Metrics and vector transforms."""

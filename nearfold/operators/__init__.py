@@ -1 +1 @@
-
+"""Operators on vector tables; each takes and returns DataFrames."""

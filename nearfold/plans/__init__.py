@@ -1 +1 @@
-
+"""Whole indexes, services and the registered queries."""
