@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import Hasher, words
+from .words import Hasher, word_blocks, words
 
 SLICE_CHARS = 16_000_000
 BLOCK_WORDS = 300_000
@@ -178,15 +178,16 @@ def leaked(
 
             for b in batches:
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    own = words(text)
-                    if len(own) < window:
-                        continue
-                    held_ids.append(doc)
-                    held.append(own)
-                    held_words += len(own)
-                    if held_words >= BLOCK_WORDS:
-                        yield from flush()
-                        held_ids, held, held_words = [], [], 0
+                    # A very long text comes in blocks that share window - 1 words, so each window is seen once.
+                    for own in [words(text)] if len(text) <= BLOCK_WORDS else word_blocks(text, BLOCK_WORDS, window - 1):
+                        if len(own) < window:
+                            continue
+                        held_ids.append(doc)
+                        held.append(own)
+                        held_words += len(own)
+                        if held_words >= BLOCK_WORDS:
+                            yield from flush()
+                            held_ids, held, held_words = [], [], 0
             yield from flush()
 
         texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -16,6 +18,16 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text).lower()) if text else []
 
 
+def word_blocks(text: str, size: int, overlap: int) -> Iterator[list[str]]:
+    """The words of a text in blocks of about ``size``, each beginning with the last ``overlap`` words of the one before."""
+    found = (m.group() for m in _WORD.finditer(unicodedata.normalize("NFKC", text).lower()))
+    block = list(islice(found, size))
+    while block:
+        yield block
+        more = list(islice(found, size))
+        block = block[len(block) - overlap :] + more if more else []
+
+
 class Hasher:
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from nearfold.llm import leaks, mixing, splitting, tokens
-from nearfold.llm.words import Hasher, words
+from nearfold.llm.words import Hasher, word_blocks, words
 
 PATH = tokens.default_path()
 VOCABULARY = [f"wort{i}" for i in range(60)] + ["Ünder", "ｆｕｌｌ", "ﬁne", "日本語", "x²"]
@@ -16,6 +16,13 @@ def test_words():
     assert words("ＡＢ c_d,é ﬁ２") == ["ab", "c", "d", "é", "fi2"] and words(None) == words("") == words(" _ ") == []
 
 
+def test_word_blocks():
+    t = " ".join(f"w{i}" for i in range(25))
+    got = list(word_blocks(t, 10, 3))
+    assert got[0] == words(t)[:10] and got[1] == words(t)[7:20] and got[2] == words(t)[17:] and len(got) == 3
+    assert list(word_blocks("", 10, 3)) == [] and [len(b) for b in word_blocks(t, 25, 3)] == [25]
+
+
 def brute_leaks(docs, items, n):
     index = {}
     for i, t in items:
@@ -47,7 +54,7 @@ def texts(seed):
 
 
 @pytest.mark.parametrize("window", [1, 5, 12])
-def test_leaks_equal_brute_force(spark, window):
+def test_leaks_equal_brute_force(spark, window, monkeypatch):
     docs, items = texts(window)
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
@@ -55,6 +62,10 @@ def test_leaks_equal_brute_force(spark, window):
         got = leaks.leaked(d, i, window=window, slice_chars=chars)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_leaks(docs, items, window)
     assert got.filter("edits > 0").count() == 0
+    # Long texts in small blocks: the same pairs and as many windows.
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
+    again = leaks.leaked(d, i, window=window)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
     assert leaks.leaked(d.filter("false"), i, window=window).count() == leaks.leaked(d, i.filter("false"), window=window).count() == 0
 
 
