@@ -113,20 +113,36 @@ def knn_join(
 
 
 def _grid(q: DataFrame, b: DataFrame, k: int, metric: str, skip_self: bool, blocks: int, block_rows: int) -> DataFrame:
+    def cell(qs, bs):
+        near = Nearest(qs.column("id").to_numpy(), matrix(qs.column("vec")), k, metric, skip_self)
+        if qs.num_rows and bs.num_rows:
+            near.add(bs.column("id").to_numpy(), matrix(bs.column("vec")))
+        return pa.Table.from_batches([near.result()])
+
+    return _cells(q, b, blocks, block_rows, cell)
+
+
+def _cells(q: DataFrame, b: DataFrame, blocks: int, block_rows: int, cell) -> DataFrame:
     """Blocks of queries against blocks of the base, a cell per pair; a cell holds one block of each."""
     side = max(1, math.ceil(b.count() / (8 * block_rows)))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     left = q.select("id", "vec", own.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("j"))
     other = F.pmod(F.xxhash64("id"), F.lit(side)).cast("int")
     right = b.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), other.alias("j"))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, _FOUND)
 
-    def cell(qs, bs):
-        near = Nearest(qs.column("id").to_numpy(), matrix(qs.column("vec")), k, metric, skip_self)
-        if qs.num_rows and bs.num_rows:
-            near.add(bs.column("id").to_numpy(), matrix(bs.column("vec")))
-        return pa.Table.from_batches([near.result()])
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, _FOUND)
+def _within(ids, vecs, base_ids, base_vecs, m, radius: float, skip_self: bool):
+    """Batches of the pairs within a radius, screened by the fast grid and decided by exact values."""
+    for lo in range(0, len(base_ids), STEP):
+        bi, bv = base_ids[lo : lo + STEP], base_vecs[lo : lo + STEP]
+        grid = m.sign * m.grid(vecs, bv)
+        r, c = np.nonzero(grid <= m.sign * radius + 1e-9 * (1 + np.abs(grid).max()))
+        d = m.pairs(vecs[r], bv[c])
+        keep = m.sign * d <= m.sign * radius
+        if skip_self:
+            keep &= ids[r] != bi[c]
+        yield batch(query_id=ids[r[keep]], id=bi[c[keep]], distance=d[keep])
 
 
 def range_join(
@@ -135,11 +151,20 @@ def range_join(
 ) -> DataFrame:
     """(query_id, id, distance): base rows within ``radius`` of each query (inner product: at least ``radius``).
 
-    Queries are taken in broadcast blocks of about ``block_rows``. Null and bad vectors as in ``knn_join``.
+    Blocks and bad vectors are treated as in ``knn_join``.
     """
     spark, m = base.sparkSession, metric_of(metric)
     q, b = select_vectors(queries, query_id, query_vec), select_vectors(base, base_id, base_vec)
     blocks, out = max(1, math.ceil(q.count() / block_rows)), None
+    if blocks > BROADCAST_BLOCKS:
+
+        def cell(qs, bs):
+            got = [batch(query_id=np.zeros(0, np.int64), id=np.zeros(0, np.int64), distance=np.zeros(0))]
+            if qs.num_rows and bs.num_rows:
+                got += _within(qs.column("id").to_numpy(), matrix(qs.column("vec")), bs.column("id").to_numpy(), matrix(bs.column("vec")), m, radius, skip_self)
+            return pa.Table.from_batches(got)
+
+        return _cells(q, b, blocks, block_rows, cell)
     for i in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
         t = part.orderBy("id").toArrow()
@@ -148,18 +173,8 @@ def range_join(
         def scan(batches, shared=shared):
             ids, vecs = shared.value
             for x in batches:
-                if not x.num_rows or not len(ids):
-                    continue
-                all_ids, all_vecs = x.column("id").to_numpy(), matrix(x.column("vec"))
-                for lo in range(0, len(all_ids), STEP):
-                    bi, bv = all_ids[lo : lo + STEP], all_vecs[lo : lo + STEP]
-                    grid = m.sign * m.grid(vecs, bv)
-                    r, c = np.nonzero(grid <= m.sign * radius + 1e-9 * (1 + np.abs(grid).max()))
-                    d = m.pairs(vecs[r], bv[c])
-                    keep = m.sign * d <= m.sign * radius
-                    if skip_self:
-                        keep &= ids[r] != bi[c]
-                    yield batch(query_id=ids[r[keep]], id=bi[c[keep]], distance=d[keep])
+                if x.num_rows and len(ids):
+                    yield from _within(ids, vecs, x.column("id").to_numpy(), matrix(x.column("vec")), m, radius, skip_self)
 
         one = b.mapInArrow(scan, _FOUND)
         out = one if out is None else out.unionByName(one)

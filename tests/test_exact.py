@@ -72,7 +72,9 @@ def test_odd_input(spark):
         D.metric("ip", "tinyint")
 
 
-def test_range_join(spark):
+@pytest.mark.parametrize("blocks", [1, 16])
+def test_range_join(spark, monkeypatch, blocks):
+    monkeypatch.setattr(exact, "BROADCAST_BLOCKS", blocks)
     b = np.random.default_rng(3).standard_normal((100, 3))
     got = {(r.query_id, r.id) for r in exact.range_join(frame(spark, b[:10]), frame(spark, b), 1.0, skip_self=True, block_rows=4).collect()}
     assert got == {(i, j) for i in range(10) for j in range(100) if i != j and ((b[i] - b[j]) ** 2).sum() <= 1.0}

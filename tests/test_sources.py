@@ -69,6 +69,33 @@ def test_truth_range_graph_permutation(spark, tmp_path):
     assert sorted(map(tuple, vecfile.read_vectors(spark, str(m), "permutation", rows_per_task=2).collect())) == [(0, 2), (1, 0), (2, 1)]
 
 
+def test_side_files(spark, tmp_path):
+    from nearfold.operators import pq
+    from nearfold.sources import indexfiles as X
+
+    p = str(tmp_path / "tags")
+    X.save_ids(spark.createDataFrame([(0, 11), (1, 0), (2, 13), (3, 4_000_000_000)], "place long, id long"), p)
+    assert sorted(map(tuple, X.read_tags(spark, p).collect())) == [(0, 11), (2, 13), (3, 4_000_000_000)]
+    assert sorted(map(tuple, X.read_tags(spark, p, deleted=spark.createDataFrame([(2,)], "id long")).collect())) == [(0, 11), (3, 4_000_000_000)]
+    assert sorted(map(tuple, X.read_shards(spark, {5: p}).filter("id < 12").collect())) == [(5, 0), (5, 11)]
+    x = np.random.default_rng(2).standard_normal((300, 6))
+    d = frame(spark, x)
+    for book in (pq.train(d, 4, 256, rounds=2), pq.train_rotated(d, 3, 256, rounds=2)):
+        c = str(tmp_path / f"book{len(book.offsets)}")
+        X.save_codebook(book, c)
+        again = X.read_codebook(c)
+        assert again.offsets == book.offsets and np.allclose(again.encode(x), book.encode(x)) and (again.rotation is None) == (book.rotation is None)
+        codes = pq.encode(d, book)
+        X.save_codes(codes, c + ".codes")
+        assert sorted(map(tuple, X.read_codes(spark, c + ".codes").collect())) == sorted(map(tuple, codes.collect()))
+    with open(c, "r+b") as f:
+        f.write(np.array([3, 1], "<i4").tobytes())
+    with pytest.raises(ValueError, match="section offsets"):
+        X.read_codebook(c)
+    with pytest.raises(ValueError):
+        X.save_codebook(pq.train(d, 2, 16), c)
+
+
 def test_text(spark, tmp_path):
     p = tmp_path / "x.tsv"
     p.write_text("1 2\n\n 3\t4 \n")
