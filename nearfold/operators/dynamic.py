@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.arrow import matrix
 from .exact import select_vectors
 from .graph import GRAPH, _by_id, check_shards, local_graph, ragged
 from .kernels import BuildParams, distances, insert_node, medoid_of, robust_prune

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import cluster, disk, dynamic, evaluate, graph as G, layout, pq
 from ..operators.kernels import BuildParams
 from ..operators.sessions import table
-from .exact_queries import BASE, GRAPH, K, asked, base, graph as knn_graph_of, knn, rounded, sql_knn, sql_l2
+from .exact_queries import GRAPH, K, asked, base, graph as knn_graph_of, knn, rounded, sql_l2
 from .index_queries import _NEAR, fixed_centres, top2_shards
 from .registry import query
 

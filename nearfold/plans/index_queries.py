@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import SparkSession, functions as F
 
 from ..functions.arrow import matrix
-from ..operators import cluster, evaluate, exact, pq
+from ..operators import cluster, evaluate, pq
 from ..operators.sessions import table
-from .exact_queries import BASE, K, _long, asked, base, knn, rounded, sql_knn, sql_l2
+from .exact_queries import BASE, K, _long, asked, base, knn, rounded, sql_l2
 from .registry import query
 
 CENTRES = [0, 50, 100, 150]
