@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text.
 
-A passage of an item is ``window`` consecutive words. Every window of every document is embedded by
-the CGK random walk, which turns edit distance into Hamming distance: a pointer walks along the words,
+A passage of an item is ``window`` consecutive words. Every window of every document, with edits also every
+span of up to ``max_edits`` words less or more (a dropped word shortens a passage, an added one lengthens it), is embedded by the CGK random walk, which turns edit distance into Hamming distance: a pointer walks along the words,
 and at each step the word under it is written out and a random bit of (step, word) says whether the
 pointer moves on. Bit-sampling LSH hashes some positions of the embedding; windows of documents and items
 that agree in a hash are candidates, and an exact word-level edit distance decides.
@@ -44,28 +44,35 @@ def repetitions(window: int, max_edits: int, sampled: int, target_recall: float)
 
 
 def embed_hashes(hashes: np.ndarray, starts: np.ndarray, window: int, repetition: int, sampled: int) -> np.ndarray:
-    """The bit-sampling hash of the CGK embedding of hashes[s : s + window] for each s of ``starts``.
+    """The bit-sampling hash of the CGK embedding of hashes[s : s + window] for each s of ``starts``."""
+    return embed_spans(hashes, starts, window, [window], repetition, sampled)[0]
 
-    The embedding has 3 * window positions, the walk past a window's end writes a pad symbol; ``sampled``
-    positions, drawn from the repetition's number alone, go into the hash.
+
+def embed_spans(hashes: np.ndarray, starts: np.ndarray, window: int, lengths: list[int], repetition: int, sampled: int) -> list[np.ndarray]:
+    """For each of ``lengths`` the bit-sampling hash of the CGK embedding of hashes[s : s + length] for each s of ``starts``.
+
+    The embedding has 3 * window positions, the walk past a span's end writes a pad symbol; ``sampled``
+    positions, drawn from the repetition's number alone, go into the hash. Spans of one start share the walk up to their ends.
     """
     rng = np.random.default_rng(7919 * (repetition + 1))
     # Positions late in the walk are mostly padding; those within 2 * window tell windows apart.
     positions = set(rng.choice(2 * window, min(sampled, 2 * window), replace=False).tolist())
     odd = rng.integers(1, 2**63, 3 * window, dtype=np.uint64) | np.uint64(1)
     last, at = max(positions), starts.copy()
-    end = starts + window
-    out = np.full(len(starts), np.uint64(repetition + 1))
+    ends = [starts + n for n in lengths]
+    furthest = starts + max(lengths)
+    outs = [np.full(len(starts), np.uint64(repetition + 1)) for _ in lengths]
     padded = np.append(hashes, np.uint64(0))
     for step in range(last + 1):
         symbol = padded[np.minimum(at, len(hashes))]
-        symbol[at >= end] = 0
+        symbol[at >= furthest] = 0
         if step in positions:
-            out = (out ^ symbol) * MULTIPLIER
-            out ^= out >> np.uint64(32)
+            for k, end in enumerate(ends):
+                out = (outs[k] ^ np.where(at < end, symbol, np.uint64(0))) * MULTIPLIER
+                outs[k] = out ^ (out >> np.uint64(32))
         if step < last:
             at += ((symbol * odd[step]) >> np.uint64(63)).astype(np.int64)
-    return out
+    return outs
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -74,6 +81,15 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
         return 0
     if not most or abs(len(a) - len(b)) > most:
         return most + 1
+    # Equal ends don't change the distance; one edit leaves at most one word between them.
+    lo, x, y = 0, len(a), len(b)
+    while lo < x and lo < y and a[lo] == b[lo]:
+        lo += 1
+    while x > lo and y > lo and a[x - 1] == b[y - 1]:
+        x, y = x - 1, y - 1
+    if most == 1:
+        return min(max(x, y) - lo, 2)
+    a, b = a[lo:x], b[lo:y]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], i
@@ -103,40 +119,50 @@ class ItemIndex:
             self.tables.append((h[order], order))
 
 
-def find_in(index: tuple, docs: list[list[str]], max_edits: int, hasher: Hasher) -> list[tuple[int, int, int, int]]:
-    """(document number, item number, windows of the document that hold a passage of the item, fewest edits)."""
+def find_in(
+    index: tuple, docs: list[list[str]], max_edits: int, hasher: Hasher, begun: list[int] | None = None
+) -> list[tuple[int, int, int, int]]:
+    """(document number, item number, places of the document where a passage of the item begins, fewest edits).
+
+    Only the first ``begun`` words of a document count as places.
+    """
     item, place, tables, item_words, window, sampled = index
     sizes = np.array([len(w) for w in docs], np.int64)
     begins = np.cumsum(sizes) - sizes
-    many = np.maximum(sizes - window + 1, 0)
+    # A span of n words within max_edits edits of a passage has at most max_edits words less or more.
+    lengths = list(range(max(1, window - max_edits), window + max_edits + 1))
+    many = np.maximum(sizes - lengths[0] + 1, 0)
+    if begun is not None:
+        many = np.minimum(many, begun)
     if not many.sum():
         return []
     hashes = np.concatenate([hasher(w) for w in docs])
     first = np.repeat(begins, many)
     starts = first + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     owner = np.repeat(np.arange(len(docs)), many)
-    checked: set[tuple[int, int]] = set()
+    room = np.repeat(begins + sizes, many) - starts
+    checked: set[tuple[int, int, int]] = set()
     found: dict[tuple[int, int], list] = {}
     for r, (sorted_hashes, order) in enumerate(tables):
         if not len(order):
             break
-        h = embed_hashes(hashes, starts, window, r, sampled)
-        lo = np.searchsorted(sorted_hashes, h, "left")
-        hit = np.flatnonzero(sorted_hashes[np.minimum(lo, len(order) - 1)] == h)
-        hi = np.searchsorted(sorted_hashes, h[hit], "right")
-        for s, top in zip(hit.tolist(), hi.tolist()):
-            doc, begin = int(owner[s]), int(starts[s] - first[s])
-            own = docs[doc][begin : begin + window]
-            for w in order[lo[s] : top].tolist():
-                if (s, w) in checked:
-                    continue
-                checked.add((s, w))
-                k, p = int(item[w]), int(place[w])
-                e = edit_distance(own, item_words[k][p : p + window], max_edits)
-                if e <= max_edits:
-                    f = found.setdefault((doc, k), [set(), e])
-                    f[0].add(s)
-                    f[1] = min(f[1], e)
+        for n, h in zip(lengths, embed_spans(hashes, starts, window, lengths, r, sampled)):
+            lo = np.searchsorted(sorted_hashes, h, "left")
+            hit = np.flatnonzero((sorted_hashes[np.minimum(lo, len(order) - 1)] == h) & (room >= n))
+            hi = np.searchsorted(sorted_hashes, h[hit], "right")
+            for s, top in zip(hit.tolist(), hi.tolist()):
+                doc, begin = int(owner[s]), int(starts[s] - first[s])
+                own = docs[doc][begin : begin + n]
+                for w in order[lo[s] : top].tolist():
+                    if (s, n, w) in checked:
+                        continue
+                    checked.add((s, n, w))
+                    k, p = int(item[w]), int(place[w])
+                    e = edit_distance(own, item_words[k][p : p + window], max_edits)
+                    if e <= max_edits:
+                        f = found.setdefault((doc, k), [set(), e])
+                        f[0].add(s)
+                        f[1] = min(f[1], e)
     return [(d, k, len(v[0]), v[1]) for (d, k), v in found.items()]
 
 
@@ -146,10 +172,10 @@ def leaked(
 ) -> DataFrame:
     """(doc_id, item_id, windows, edits): documents that hold a passage of ``window`` words of an item.
 
-    windows counts the word windows of the document that match a passage within ``max_edits`` word
-    edits, edits is the fewest. With no edits the result is exact; with some, pairs may be missed at a rate
-    of about 1 - target_recall per single matching window, and none is wrong. Null or blank texts, and texts or
-    items shorter than the window, match nothing. Rows with repeated ids are all searched; a pair comes once.
+    windows counts the places of the document where a span begins that matches a passage within ``max_edits`` word
+    edits (changed, added or dropped words), edits is the fewest. With no edits the result is exact; with some, pairs may be missed at a rate
+    of about 1 - target_recall per single matching window, and none is wrong. Null or blank texts, items
+    shorter than the window, and texts shorter than it by more than max_edits words match nothing. Rows with repeated ids are all searched; a pair comes once.
     Texts are taken whole. Empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -170,24 +196,30 @@ def leaked(
 
         def search(batches, shared=shared, names=names):
             hasher, ids = Hasher(), names.value
-            held_ids, held, held_words = [], [], 0
+            held_ids, held, begun, held_words = [], [], [], 0
 
             def flush():
-                got = [(held_ids[d], ids[k], n, e) for d, k, n, e in find_in(shared.value, held, max_edits, hasher)] if held else []
+                got = [(held_ids[d], ids[k], n, e) for d, k, n, e in find_in(shared.value, held, max_edits, hasher, begun)] if held else []
                 return [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["doc_id", "item_id", "windows", "edits"])] if got else []
 
             for b in batches:
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    # A very long text comes in blocks that share window - 1 words, so each window is seen once.
-                    for own in [words(text)] if len(text) <= BLOCK_WORDS else word_blocks(text, BLOCK_WORDS, window - 1):
-                        if len(own) < window:
-                            continue
-                        held_ids.append(doc)
-                        held.append(own)
-                        held_words += len(own)
+                    # A very long text comes in blocks that share all words but one of the longest span; places among
+                    # the shared words belong to the later block, so each is seen once and with all its spans.
+                    shared_words = window + max_edits - 1
+                    blocks = iter([words(text)] if len(text) <= BLOCK_WORDS else word_blocks(text, BLOCK_WORDS, shared_words))
+                    own = next(blocks, None)
+                    while own is not None:
+                        later = next(blocks, None)
+                        if len(own) >= window - max_edits:
+                            held_ids.append(doc)
+                            held.append(own)
+                            begun.append(len(own) if later is None else len(own) - shared_words)
+                            held_words += len(own)
                         if held_words >= BLOCK_WORDS:
                             yield from flush()
-                            held_ids, held, held_words = [], [], 0
+                            held_ids, held, begun, held_words = [], [], [], 0
+                        own = later
             yield from flush()
 
         texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")

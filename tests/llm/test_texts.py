@@ -87,6 +87,27 @@ def test_edited_passages_are_found(spark):
     assert sum((i, i) in got for i in must) / len(must) >= 0.9
 
 
+@pytest.mark.parametrize("block", [leaks.BLOCK_WORDS, 40])
+def test_changed_added_and_dropped_words_are_found(spark, block, monkeypatch):
+    """Each kind of edit at the target recall, anywhere in the passage, also over the ends of blocks and in a text of the passage alone."""
+    rng = random.Random(5)
+    words_ = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.sample(words_, 16))) for i in range(180)]
+    docs = []
+    for i, t in items:
+        w, k = t.split(), rng.randrange(16)
+        w = [w[:k] + ["other"] + w[k + 1 :], w[:k] + ["other"] + w[k:], w[:k] + w[k + 1 :]][i % 3]
+        n = rng.choice([0, 20, 30])
+        docs.append((i, " ".join(rng.sample(words_, n) + w + rng.sample(words_, n))))
+    df = lambda x, n: spark.createDataFrame(x, f"{n} long, text string")
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
+    rows = leaks.leaked(df(docs, "doc_id"), df(items, "item_id"), window=16, max_edits=1).collect()
+    assert all(r.doc_id == r.item_id and r.edits <= 1 and 1 <= r.windows <= 3 for r in rows)
+    found = {r.doc_id for r in rows}
+    for kind in range(3):
+        assert np.mean([i in found for i in range(kind, 180, 3)]) >= 0.95
+
+
 def test_edit_distance():
     a = "a b c d e".split()
     assert leaks.edit_distance(a, a, 0) == 0 and leaks.edit_distance(a, "a b x d e".split(), 1) == 1
