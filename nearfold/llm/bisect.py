@@ -21,14 +21,15 @@ from .vectors import distinct_vectors, group_bounds, matrix, sorted_groups, usab
 
 LOCAL_ROWS = 20_000
 #: The tree's planes and a round's sums are held on the driver and broadcast: about so many nodes at most (20 MB each at
-#: 64 dimensions). Beyond LOCAL_ROWS * MOST_NODES / 4 rows, nodes are left larger instead.
+#: 64 dimensions). Beyond LOCAL_ROWS * MOST_NODES / 4 rows, nodes are left larger instead, and a tree of so many splits
+#: is not split further; such nodes are finished whole.
 MOST_NODES = 20_000
 PASSES = 1
 DEPTH = 40
 
 
-#: Split nodes: node -> (normal, offset); rows with normal . x <= offset go to 2 * node, others to 2 * node + 1.
-Planes = dict[int, tuple[np.ndarray, float]]
+#: Split nodes: node -> (normal, offset, low); rows with normal . x <= offset go to node low, others to low + 1. The root is 1.
+Planes = dict[int, tuple[np.ndarray, float, int]]
 
 
 def descend(planes: Planes, vecs: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,14 +46,14 @@ def descend(planes: Planes, vecs: np.ndarray, margin: float) -> tuple[np.ndarray
             if node not in planes:
                 done.append((r, nodes[lo:hi], o))
                 continue
-            normal, offset = planes[node]
+            normal, offset, low = planes[node]
             side = vecs[r] @ normal - offset
             left = side <= 0
-            todo.append((r[left], np.full(left.sum(), 2 * node), o[left]))
-            todo.append((r[~left], np.full((~left).sum(), 2 * node + 1), o[~left]))
+            todo.append((r[left], np.full(left.sum(), low), o[left]))
+            todo.append((r[~left], np.full((~left).sum(), low + 1), o[~left]))
             if margin > 0:
                 near = left & (side >= -margin * (1 + 1e-9))
-                todo.append((r[near], np.full(near.sum(), 2 * node + 1), np.zeros(near.sum(), bool)))
+                todo.append((r[near], np.full(near.sum(), low + 1), np.zeros(near.sum(), bool)))
         rows, nodes, own = (np.concatenate(x) for x in zip(*todo)) if todo else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, bool))
         if margin > 0 and len(rows):
             # A copy may meet its own row again below; the row itself stays.
@@ -82,8 +83,9 @@ def seeds(mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int = PASSES, depth: int = DEPTH) -> Planes:
     """Split nodes of more than ``local_rows`` rows (copies included) until none is left that a split makes smaller.
 
-    A split that leaves more than 0.9 of a node, copies included, on one side is not used;
-    such a node, and one at ``depth``, stays large, and whoever reads it deals it into blocks.
+    With a margin, a split that leaves more than 0.9 of a node, copies included, on one side is not used;
+    such a node, and one at ``depth``, stays large, and whoever reads it deals it into blocks. Without a margin there
+    are no copies: every split with rows on both sides is used, at any depth.
     """
     spark, tree = rows.sparkSession, {}
     sums = [f"s{i}" for i in range(dim)] + [f"q{i}" for i in range(dim)]
@@ -127,27 +129,32 @@ def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int
 
     nodes = stats(tree, {1})
     local_rows = max(local_rows, 4 * nodes.get(1, {"n": 0})["n"] // MOST_NODES)
+    level, free = 1, 2
     while True:
-        large = {k: v for k, v in nodes.items() if v["n"] > local_rows and v["own"] > 1 and v["var"].max() > 0 and k.bit_length() <= depth}
-        if not large:
+        large = {k: v for k, v in nodes.items() if v["n"] > local_rows and v["own"] > 1 and v["var"].max() > 0}
+        if not large or (level > depth if margin > 0 else len(tree) >= MOST_NODES):
             return tree
         # Twins of 2-means: seeds, then means of the two sides.
         centres = {k: seeds(v["mean"], v["var"]) for k, v in large.items()}
+        low = {k: free + 2 * i for i, k in enumerate(large)}
+        level, free = level + 1, free + 2 * len(large)
+        good: dict[int, tuple] = {}
         for step in range(passes + 1):
-            trial = tree | {k: plane(*c) for k, c in centres.items()}
-            kids = stats(trial, {2 * k + s for k in large for s in (0, 1)})
-            if step < passes:
-                for k in list(centres):
-                    if all(kids.get(2 * k + s, {"own": 0})["own"] for s in (0, 1)):
-                        pair = kids[2 * k]["mean"], kids[2 * k + 1]["mean"]
-                        if np.linalg.norm(pair[0] - pair[1]) > 0:
-                            centres[k] = pair
+            trial = tree | {k: (*plane(*c), low[k]) for k, c in centres.items()}
+            kids = stats(trial, {low[k] + s for k in large for s in (0, 1)})
+            for k in large:
+                two = [kids.get(low[k] + s, {"own": 0, "n": 0}) for s in (0, 1)]
+                if all(x["own"] for x in two):
+                    good[k] = trial[k], two
+                    if step < passes and np.linalg.norm(two[0]["mean"] - two[1]["mean"]) > 0:
+                        centres[k] = two[0]["mean"], two[1]["mean"]
+                elif margin > 0:
+                    good[k] = trial[k], two
         nodes = {}
-        for k, v in large.items():
-            two = [kids.get(2 * k + s, {"own": 0, "n": 0}) for s in (0, 1)]
-            if max(x["n"] for x in two) <= 0.9 * v["n"]:
-                tree[k] = trial[k]
-                nodes |= {2 * k + s: x for s, x in enumerate(two) if x["own"]}
+        for k, (split, two) in good.items():
+            if margin <= 0 or max(x["n"] for x in two) <= 0.9 * large[k]["n"]:
+                tree[k] = split
+                nodes |= {low[k] + s: x for s, x in enumerate(two) if x["own"]}
 
 
 def bisect_local(vecs: np.ndarray, leaf_rows: int, dispersion: float, weights: np.ndarray | None = None, passes: int = 4) -> np.ndarray:
@@ -196,7 +203,7 @@ def bisecting_clusters(
     most ``min_rows`` distinct vectors. cluster_id is the smallest id of the leaf. Identical vectors count as
     often as they occur and share a leaf. Unusable rows (null id; null, wrong-length, NaN or zero vectors) are left out;
     repeated ids count once. An empty table gives no rows. A node that cannot be cut below ``local_rows``
-    (see ``grow``) is finished block by block, so its leaves are those of the blocks.
+    (see ``grow``) is finished whole.
     """
     kept = cut(usable_rows(rows, row_id, vec, dim))
     distinct = cut(distinct_vectors(kept))
@@ -209,9 +216,9 @@ def bisecting_clusters(
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), b.column("vec").take(pa.array(r)), b.column("copies").take(pa.array(r)), pa.array(nodes)], ["id", "vec", "copies", "node"])
 
     def finish(batches):
-        for t in sorted_groups(batches, ["node", "block"]):
+        for t in sorted_groups(batches, ["node"]):
             ids, vecs, copies = t.column("id").to_numpy(), matrix(t.column("vec"), dim).astype(np.float64), t.column("copies").to_numpy()
-            bounds = group_bounds(t, ["node", "block"])
+            bounds = group_bounds(t, ["node"])
             label, dist = np.empty(len(ids), np.int64), np.empty(len(ids))
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 v, w = vecs[lo:hi], copies[lo:hi].astype(np.float64)
@@ -224,9 +231,7 @@ def bisecting_clusters(
             yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(label), pa.array(dist)], ["rep", "cluster_id", "distance"])
 
     placed = distinct.mapInArrow(place, "id long, vec array<float>, copies long, node long")
-    sizes = placed.groupBy("node").count().filter(F.col("count") > 2 * local_rows).select("node", F.ceil(F.col("count") / local_rows).alias("_n"))
-    dealt = placed.join(sizes, "node", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
-    leaves = dealt.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(finish, "rep long, cluster_id long, distance double")
+    leaves = placed.repartition("node").sortWithinPartitions("node").mapInArrow(finish, "rep long, cluster_id long, distance double")
     reps = distinct.select(F.col("id").alias("rep"), "vec")
     return kept.join(reps, "vec").select("id", "rep").join(leaves, "rep").select("id", "cluster_id", "distance")
 
