@@ -1,7 +1,7 @@
 """Grouping records into similarity clusters by bisecting k-means.
 
-The tree is grown across the cluster: every round splits all nodes that are still too large, each
-by a few 2-means passes over all rows, in which a task reduces its rows to sums per child. Nodes that
+The tree is grown across the cluster: every round splits all nodes that are still too large (and, for clusters,
+not compact yet), each by a few 2-means passes over all rows, in which a task reduces its rows to sums per child. Nodes that
 have become small enough are finished inside one task each, by the same rule, down to the compactness
 limit: the node of the largest dispersion is split until every leaf is compact or tiny.
 
@@ -80,12 +80,17 @@ def seeds(mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean - axis, mean + axis
 
 
-def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int = PASSES, depth: int = DEPTH) -> Planes:
+def grow(
+    rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int = PASSES, depth: int = DEPTH, dispersion: float | None = None
+) -> tuple[Planes, dict[int, np.ndarray]]:
     """Split nodes of more than ``local_rows`` rows (copies included) until none is left that a split makes smaller.
 
     With a margin, a split that leaves more than 0.9 of a node, copies included, on one side is not used;
     such a node, and one at ``depth``, stays large, and whoever reads it deals it into blocks. Without a margin there
-    are no copies: every split with rows on both sides is used, at any depth.
+    are no copies: every split with rows on both sides is used, at any depth. With ``dispersion``, rows count as often as
+    their column copies says, and a node whose mean squared distance to its centre is within it is not split, whatever its size.
+
+    Returns the tree and the centres of the large nodes that are leaves: compact ones, and those no plane separates.
     """
     spark, tree = rows.sparkSession, {}
     sums = [f"s{i}" for i in range(dim)] + [f"q{i}" for i in range(dim)]
@@ -102,14 +107,16 @@ def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int
                 r, nodes, own = descend(t, vecs, margin)
                 keep = np.isin(nodes, list(wanted))
                 r, nodes, own = r[keep], nodes[keep], own[keep]
+                weights = None if dispersion is None else b.column("copies").to_numpy()
                 for node in np.unique(nodes):
                     here = nodes == node
                     v = vecs[r[here & own]]
+                    w = np.ones(len(v), np.int64) if weights is None else weights[r[here & own]]
                     h = held.setdefault(int(node), [0, 0, np.zeros(dim), np.zeros(dim)])
-                    h[0] += len(v)
+                    h[0] += int(w.sum())
                     h[1] += int(here.sum())
-                    h[2] += v.sum(0)
-                    h[3] += (v * v).sum(0)
+                    h[2] += w @ v
+                    h[3] += w @ (v * v)
             if held:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(held)), pa.array([h[0] for h in held.values()]), pa.array([h[1] for h in held.values()])]
@@ -118,7 +125,7 @@ def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int
                     ["child", "own", "n", *sums],
                 )
 
-        got = rows.select("vec").mapInArrow(reduce, schema).groupBy("child").agg(*[F.sum(c).alias(c) for c in ("own", "n", *sums)]).toPandas()
+        got = rows.select("vec", *([] if dispersion is None else ["copies"])).mapInArrow(reduce, schema).groupBy("child").agg(*[F.sum(c).alias(c) for c in ("own", "n", *sums)]).toPandas()
         shared.unpersist()
         out = {}
         for x in got.itertuples(index=False):
@@ -129,11 +136,14 @@ def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int
 
     nodes = stats(tree, {1})
     local_rows = max(local_rows, 4 * nodes.get(1, {"n": 0})["n"] // MOST_NODES)
-    level, free = 1, 2
+    level, free, whole = 1, 2, {}
     while True:
         large = {k: v for k, v in nodes.items() if v["n"] > local_rows and v["own"] > 1 and v["var"].max() > 0}
+        if dispersion is not None:
+            whole |= {k: v["mean"] for k, v in nodes.items() if v["n"] > local_rows and (k not in large or v["var"].sum() <= dispersion)}
+            large = {k: v for k, v in large.items() if k not in whole}
         if not large or (level > depth if margin > 0 else len(tree) >= MOST_NODES):
-            return tree
+            return tree, whole
         # Twins of 2-means: seeds, then means of the two sides.
         centres = {k: seeds(v["mean"], v["var"]) for k, v in large.items()}
         low = {k: free + 2 * i for i, k in enumerate(large)}
@@ -151,6 +161,8 @@ def grow(rows: DataFrame, dim: int, local_rows: int, margin: float, passes: int
                 elif margin > 0:
                     good[k] = trial[k], two
         nodes = {}
+        if dispersion is not None:
+            whole |= {k: v["mean"] for k, v in large.items() if k not in good}
         for k, (split, two) in good.items():
             if margin <= 0 or max(x["n"] for x in two) <= 0.9 * large[k]["n"]:
                 tree[k] = split
@@ -202,18 +214,25 @@ def bisecting_clusters(
     A leaf is compact: its mean squared distance to the centre is at most ``max_dispersion``, or it has at
     most ``min_rows`` distinct vectors. cluster_id is the smallest id of the leaf. Identical vectors count as
     often as they occur and share a leaf. Unusable rows (null id; null, wrong-length, NaN or zero vectors) are left out;
-    repeated ids count once. An empty table gives no rows. A node that cannot be cut below ``local_rows``
-    (see ``grow``) is finished whole.
+    repeated ids count once. An empty table gives no rows. The limit decides alone: ``local_rows``
+    only says where a node is finished, in a task of its own or across the cluster.
     """
     kept = cut(usable_rows(rows, row_id, vec, dim))
     distinct = cut(distinct_vectors(kept))
-    tree = distinct.sparkSession.sparkContext.broadcast(grow(distinct, dim, local_rows, 0.0))
+    tree, whole = grow(distinct, dim, max(local_rows, min_rows), 0.0, dispersion=max_dispersion)
+    shared = distinct.sparkSession.sparkContext.broadcast((tree, whole))
 
     def place(batches):
+        t, centres = shared.value
         for b in batches:
             vecs = matrix(b.column("vec"), dim).astype(np.float64)
-            r, nodes, _ = descend(tree.value, vecs, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), b.column("vec").take(pa.array(r)), b.column("copies").take(pa.array(r)), pa.array(nodes)], ["id", "vec", "copies", "node"])
+            r, nodes, _ = descend(t, vecs, 0.0)
+            dist = np.full(len(r), np.nan)
+            for node in np.unique(nodes):
+                if int(node) in centres:
+                    here = nodes == node
+                    dist[here] = ((vecs[r[here]] - centres[int(node)]) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(r)) for c in ("id", "vec", "copies")), pa.array(nodes), pa.array(dist)], ["id", "vec", "copies", "node", "distance"])
 
     def finish(batches):
         for t in sorted_groups(batches, ["node"]):
@@ -230,8 +249,14 @@ def bisecting_clusters(
                     dist[lo + here] = ((v[here] - centre) ** 2).sum(1)
             yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(label), pa.array(dist)], ["rep", "cluster_id", "distance"])
 
-    placed = distinct.mapInArrow(place, "id long, vec array<float>, copies long, node long")
-    leaves = placed.repartition("node").sortWithinPartitions("node").mapInArrow(finish, "rep long, cluster_id long, distance double")
+    placed = distinct.mapInArrow(place, "id long, vec array<float>, copies long, node long, distance double")
+    small = placed.filter(F.isnan("distance")).drop("distance")
+    leaves = small.repartition("node").sortWithinPartitions("node").mapInArrow(finish, "rep long, cluster_id long, distance double")
+    if whole:
+        # Large leaves are never gathered: their names, a row each, go to their rows.
+        large = placed.filter(~F.isnan("distance")).select(F.col("id").alias("rep"), "node", "distance")
+        names = large.groupBy("node").agg(F.min("rep").alias("cluster_id"))
+        leaves = leaves.unionByName(large.join(F.broadcast(names), "node").select("rep", "cluster_id", "distance"))
     reps = distinct.select(F.col("id").alias("rep"), "vec")
     return kept.join(reps, "vec").select("id", "rep").join(leaves, "rep").select("id", "cluster_id", "distance")
 
@@ -339,7 +364,7 @@ def linked_clusters(
     kept = cut(usable_rows(rows, row_id, vec, dim))
     distinct = cut(distinct_vectors(kept))
     margin = float(np.sqrt(limit))
-    tree = distinct.sparkSession.sparkContext.broadcast(grow(distinct, dim, local_rows, margin))
+    tree = distinct.sparkSession.sparkContext.broadcast(grow(distinct, dim, local_rows, margin)[0])
 
     def place(batches):
         for b in batches:
