@@ -25,6 +25,8 @@ LOCAL_ROWS = 20_000
 #: is not split further; such nodes are finished whole.
 MOST_NODES = 20_000
 PASSES = 1
+#: Planes tried for a node of ``bisecting_clusters``, in a task and across the cluster: the seeds' and those of three Lloyd steps.
+CLUSTER_PLANES = 4
 DEPTH = 40
 
 
@@ -169,7 +171,7 @@ def grow(
                 nodes |= {low[k] + s: x for s, x in enumerate(two) if x["own"]}
 
 
-def bisect_local(vecs: np.ndarray, leaf_rows: int, dispersion: float, weights: np.ndarray | None = None, passes: int = 4) -> np.ndarray:
+def bisect_local(vecs: np.ndarray, leaf_rows: int, dispersion: float, weights: np.ndarray | None = None, passes: int = CLUSTER_PLANES) -> np.ndarray:
     """Leaf numbers of a small set: split by 2-means while a node has more than ``leaf_rows`` rows and its
     mean squared distance to the centre exceeds ``dispersion``."""
     n = len(vecs)
@@ -219,7 +221,7 @@ def bisecting_clusters(
     """
     kept = cut(usable_rows(rows, row_id, vec, dim))
     distinct = cut(distinct_vectors(kept))
-    tree, whole = grow(distinct, dim, max(local_rows, min_rows), 0.0, dispersion=max_dispersion)
+    tree, whole = grow(distinct, dim, max(local_rows, min_rows), 0.0, CLUSTER_PLANES - 1, dispersion=max_dispersion)
     shared = distinct.sparkSession.sparkContext.broadcast((tree, whole))
 
     def place(batches):
