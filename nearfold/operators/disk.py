@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .exact import select_vectors
 from .graph import _by_id, local_graph
-from .kernels import beam_search
+from .kernels import beam_search, distances
 from .pq import Codebook
 from ..functions.arrow import matrix
 
@@ -57,9 +57,17 @@ def _search(
                         nodes, dist = nodes[:k], dist[:k]
                         break
                     hits = int((dist <= radius).sum())
-                    if 2 * hits < size or size >= k:
+                    if 2 * hits < size:
                         nodes, dist = nodes[:hits], dist[:hits]
                         break
+                    if size >= k:
+                        # Too many lie within for a walk: the shard is read as a whole, which is exact.
+                        every = distances(vecs, np.arange(len(vecs)), v)
+                        nodes = np.flatnonzero((every <= radius) & ~hide & (ids != qid if skip_self else True))
+                        nodes = nodes[np.lexsort((nodes, every[nodes]))]
+                        dist = every[nodes]
+                        s.pages, s.comparisons = len(np.unique(page[~cached])), s.comparisons + len(vecs)
+                        break
                     size *= 2
                 for i, (x, d) in enumerate(zip(ids[nodes].tolist(), dist.tolist())):
                     cost = (s.pages, s.comparisons, s.hops, s.cache_hits) if not i else (0, 0, 0, 0)
@@ -97,7 +105,11 @@ def range_search(
     queries: DataFrame, graph: DataFrame, rows: DataFrame, layout: DataFrame, radius: float, min_list: int = 100, max_list: int = 10_000, min_beam: int = 2,
     book: Codebook | None = None, skip_self: bool = False,
 ) -> DataFrame:
-    """Approximate rows within ``radius``: the list doubles while half of it or more lies within, up to ``max_list``."""
+    """Approximate rows within ``radius``: the list doubles while half of it or more lies within, up to ``max_list``.
+
+    Where half of a list of ``max_list`` or more still lies within, the query compares all rows of that shard instead, exactly: no
+    number of rows is too large to come out.
+    """
     return _search(queries, graph, rows, layout, book, max_list, min_list, min_beam, True, None, None, None, skip_self, radius)
 
 

@@ -140,6 +140,18 @@ def test_range_search_and_tuner(data, built):
     assert 1 <= disk.tune_beam(lambda w: [0.001] * 10, most=4) <= 4
 
 
+def test_range_search_has_no_largest_result(data, built):
+    """Far more rows within the radius than the largest list holds."""
+    _, b = data
+    _, _, g = built
+    q = b.filter("id % 40 = 0")
+    for skip in (False, True):
+        got = disk.range_search(q, g, b, L.identity_layout(b, 10), 90.0, 10, 20, skip_self=skip).select("query_id", "id")
+        truth = exact.range_join(q, b, 90.0, skip_self=skip).select("query_id", "id")
+        assert truth.count() > 50 * q.count()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, truth.collect()))
+
+
 def test_layouts_are_bijections(spark, data):
     _, b = data
     rng = np.random.default_rng(3)
