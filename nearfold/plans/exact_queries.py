@@ -130,7 +130,7 @@ _LEVELS = ",\n".join(
 @query(f"WITH {GRAPH}, e AS (SELECT id, unnest(nbrs) AS t FROM graph), l0 AS (SELECT min(id) AS id, 0 AS level FROM graph),\n{_LEVELS}\nSELECT id, level FROM l16")
 def bfs_levels(spark, d):
     g = graph(spark, d)
-    return evaluate.bfs_levels(g, g.agg(F.min("id").alias("id")), 16)
+    return evaluate.bfs_levels(g, g.agg(F.min("id").alias("id")))
 
 
 _CENTRE = "c AS (SELECT list(m ORDER BY pos) AS c FROM (SELECT pos, avg(x) AS m FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS pos FROM base) GROUP BY pos))"

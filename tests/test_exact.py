@@ -115,3 +115,11 @@ def test_rotate_there_and_back(spark):
     turned = V.rotate(d, r)
     assert np.allclose([t.vec for t in turned.orderBy("id").collect()], x @ r)
     assert np.allclose([t.vec for t in V.rotate(turned, r, transposed=True).orderBy("id").collect()], x)
+
+
+def test_bfs_query_goes_beyond_16_levels(spark, monkeypatch):
+    from nearfold.plans import exact_queries
+
+    chain = spark.createDataFrame([(i, [i + 1]) for i in range(24)], "id long, nbrs array<long>")
+    monkeypatch.setattr(exact_queries, "graph", lambda *_: chain)
+    assert {(r.id, r.level) for r in exact_queries.bfs_levels(spark, "").collect()} == {(i, i) for i in range(25)}
