@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.arrow import matrix
 from .exact import select_vectors
-from .kernels import BuildParams, build_graph, distances, greedy_search, robust_prune
+from .kernels import BuildParams, build_graph, distances, greedy_search, padded_seeds, robust_prune
 
 SHARD_ROWS = 50_000
 GRAPH = "shard int, id long, nbrs array<long>, entry boolean"
@@ -119,16 +119,19 @@ def merge_shards(graph: DataFrame, degree: int, seed: int = 1) -> DataFrame:
 
 def search(
     queries: DataFrame, graph: DataFrame, rows: DataFrame, k: int, list_size: int = 100, routes: DataFrame | None = None, hidden: DataFrame | None = None,
-    skip_self: bool = False,
+    skip_self: bool = False, metric: str = "l2", seed: int = 1,
 ) -> DataFrame:
     """(query_id, rank, id, distance, hops, comparisons): approximate k nearest by greedy search in shards.
 
     ``routes`` (query_id, shard) says where each query looks; without it, in every shard. ``hidden`` (id) are expanded
     but not returned. hops and comparisons are sums over the shards that a query looked into. k must not exceed
-    ``list_size``. A shard's graph and its queries meet in one task.
+    ``list_size``. A shard's graph and its queries meet in one task. With ``metric`` fast_l2 distances are norm - 2 x.q, and
+    a search begins at the neighbours of the entry nodes, padded with random nodes to ``list_size`` by ``seed``.
     """
     if not 0 < k <= list_size:
         raise ValueError("need 0 < k <= list_size")
+    if metric not in ("l2", "fast_l2"):
+        raise ValueError("metric must be l2 or fast_l2")
     q = select_vectors(queries, "id", "vec")
     if routes is None:
         shards = [r.shard for r in graph.select("shard").distinct().orderBy("shard").limit(10_001).collect()]
@@ -150,10 +153,13 @@ def search(
             return empty
         t = _by_id(t)
         ids, vecs, nbrs, starts = local_graph(t)
+        norms = None
+        if metric == "fast_l2":
+            norms, starts = (vecs * vecs).sum(1), padded_seeds(nbrs, starts, list_size, seed)
         hide = t.column("hid").to_numpy(zero_copy_only=False)
         out = [[], [], [], [], []]
         for qid, v in zip(qs.column("id").to_pylist(), matrix(qs.column("vec"))):
-            best, expanded, _, count = greedy_search(vecs, nbrs, starts, v, list_size)
+            best, expanded, _, count = greedy_search(vecs, nbrs, starts, v, list_size, norms)
             show = ~hide[best.nodes]
             if skip_self:
                 show &= ids[best.nodes] != qid

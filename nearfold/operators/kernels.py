@@ -66,13 +66,29 @@ class CandidateList:
         return self.nodes[open_]
 
 
-def greedy_search(vecs: np.ndarray, nbrs: list[np.ndarray], starts: np.ndarray, q: np.ndarray, size: int) -> tuple[CandidateList, np.ndarray, np.ndarray, int]:
-    """Best-first search: (list, expanded nodes in order, their distances, distances computed)."""
+def padded_seeds(nbrs: list[np.ndarray], starts: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """The neighbours of the starts, padded with random nodes to ``size`` or to all there are."""
+    own = np.array(list(dict.fromkeys(np.concatenate([nbrs[x] for x in starts.tolist()]).tolist()))[:size] if len(starts) else [], np.int64)
+    others = np.setdiff1d(np.arange(len(nbrs)), own)
+    return np.append(own, np.random.default_rng(seed).permutation(others)[: size - len(own)])
+
+
+def greedy_search(
+    vecs: np.ndarray, nbrs: list[np.ndarray], starts: np.ndarray, q: np.ndarray, size: int, norms: np.ndarray | None = None
+) -> tuple[CandidateList, np.ndarray, np.ndarray, int]:
+    """Best-first search: (list, expanded nodes in order, their distances, distances computed).
+
+    With the squared ``norms`` of the rows, distances are norm - 2 x.q, which rank like squared L2.
+    """
+
+    def measure(rows: np.ndarray) -> np.ndarray:
+        return distances(vecs, rows, q) if norms is None else norms[rows] - 2 * (vecs[rows] @ q)
+
     seen = np.zeros(len(vecs), bool)
     best = CandidateList(size)
     starts = np.unique(starts)
     seen[starts] = True
-    best.add(starts, distances(vecs, starts, q))
+    best.add(starts, measure(starts))
     expanded, far, count = [], [], len(starts)
     while len(now := best.next()):
         node = int(now[0])
@@ -82,7 +98,7 @@ def greedy_search(vecs: np.ndarray, nbrs: list[np.ndarray], starts: np.ndarray,
         if len(new):
             seen[new] = True
             count += len(new)
-            best.add(new, distances(vecs, new, q))
+            best.add(new, measure(new))
     return best, np.array(expanded, np.int64), np.array(far), count
 
 

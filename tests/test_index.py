@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.operators import cluster, disk, dynamic, evaluate, exact, graph as G, layout as L, pq
-from nearfold.operators.kernels import BuildParams, robust_prune
+from nearfold.operators.kernels import BuildParams, padded_seeds, robust_prune
 from nearfold.plans import index as I
 
 from .test_exact import frame
@@ -140,6 +140,22 @@ def test_range_search_and_tuner(data, built):
     assert 1 <= disk.tune_beam(lambda w: [0.001] * 10, most=4) <= 4
 
 
+def test_fast_l2_search(data, built):
+    """Distances are norm - 2 x.q; seeds are the start's neighbours and random nodes, as many as the list is long."""
+    x, b = data
+    q = b.filter("id % 40 = 0")
+    got = G.search(q, built[2], b, 5, 40, skip_self=True, metric="fast_l2")
+    assert evaluate.recall_at(got, exact.knn_join(q, b, 5, skip_self=True), 5).first().recall >= 90
+    vec = {r.id: np.array(r.vec) for r in b.collect()}
+    rows = got.collect()
+    assert all(abs(r.distance - (vec[r.id] @ vec[r.id] - 2 * vec[r.id] @ vec[r.query_id])) < 1e-4 for r in rows)
+    assert min(r.comparisons for r in rows) >= 3 * 40
+    nbrs = [np.array([3, 1]), np.array([0]), np.array([0]), np.array([0]), np.array([0])]
+    seeds = padded_seeds(nbrs, np.array([0]), 4, 1)
+    assert seeds[:2].tolist() == [3, 1] and len(set(seeds.tolist())) == 4
+    assert padded_seeds(nbrs, np.array([0]), 1, 1).tolist() == [3] and sorted(padded_seeds(nbrs, np.array([0]), 9, 1).tolist()) == list(range(5))
+
+
 def test_range_search_has_no_largest_result(data, built):
     """Far more rows within the radius than the largest list holds."""
     _, b = data
