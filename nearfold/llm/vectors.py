@@ -6,6 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.blocks import cut
+
+#: Rows of one key above which ``join_hot`` broadcasts it, and the most keys it broadcasts.
+HOT = 100_000
+MOST_HOT = 100_000
+
 
 def usable(vec: Column, dim: int) -> Column:
     """True where a vector has exactly ``dim`` elements, none null, NaN or infinite, not all zero."""
@@ -14,18 +20,37 @@ def usable(vec: Column, dim: int) -> Column:
     return F.coalesce((F.size(vec) == dim) & ~bad & some, F.lit(False))
 
 
-def usable_rows(rows: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
-    """(id, vec): one row per id with a usable vector; null ids and unusable vectors are left out.
+def distinct_rows(rows: DataFrame, row_id: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(id, vec, copies), one row per distinct vector, and (id, rep) of the ids that share a vector with others.
 
-    An id is expected to carry one vector; if it came with several, the smallest in array order stays.
+    id of a distinct vector is the smallest of the ids that carry it, which is the rep of them all. Unusable
+    vectors and null ids are left out, repeated rows count once. An id is expected to carry one vector; if it came with
+    several, the one of the smallest fingerprint stays. Vectors are told apart by 128-bit fingerprints, so that ids and
+    fingerprints are exchanged instead of vectors; each vector is exchanged once, copies are reduced before it.
     """
-    kept = rows.select(F.col(row_id).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    return kept.filter(F.col("id").isNotNull() & usable(F.col("vec"), dim)).groupBy("id").agg(F.min("vec").alias("vec"))
-
-
-def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """(id, vec, copies): one row per distinct vector, id the smallest of those that carry it."""
-    return rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "vec", "copies")
+    named = rows.select(F.col(row_id).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
+    kept = named.filter(F.col("id").isNotNull() & usable(F.col("vec"), dim)).withColumns({"_h": F.xxhash64("vec"), "_g": F.xxhash64(F.lit(7), "vec")})
+    marks = cut(kept.select("id", "_h", "_g").distinct())
+    several = marks.groupBy("id").count().filter("count > 1")
+    if not several.isEmpty():
+        marks = cut(marks.groupBy("id").agg(F.min(F.struct("_h", "_g")).alias("_m")).select("id", "_m._h", "_m._g"))
+    groups = marks.groupBy("_h", "_g").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    vectors = kept.groupBy("_h", "_g").agg(F.first("vec").alias("vec"))
+    distinct = cut(vectors.join(groups, ["_h", "_g"]).select(F.col("rep").alias("id"), "vec", "copies"))
+    members = join_hot(marks, groups.filter("copies > 1"), ["_h", "_g"], "copies").select("id", "rep")
+    return distinct, members
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, hot: int = HOT) -> DataFrame:
+    """Inner join of ``rows`` with the unique keys of ``unique``, whose column ``weight`` counts the rows of a key.
+
+    Keys of more than ``hot`` rows are at most rows / ``hot`` and are broadcast (about 40 bytes each), so that no task gets a hot key whole.
+    """
+    large = cut(unique.filter(F.col(weight) > hot))
+    if not 0 < large.count() <= MOST_HOT:
+        return rows.join(unique, keys)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(unique.filter(F.col(weight) <= hot), keys)
+    return rest.unionByName(rows.join(F.broadcast(large), keys))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
