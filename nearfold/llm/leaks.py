@@ -1,13 +1,16 @@
 """Evaluation texts leaking into training text.
 
-A passage of an item is ``window`` consecutive words. Every window of every document, with edits also every
-span of up to ``max_edits`` words less or more (a dropped word shortens a passage, an added one lengthens it), is embedded by the CGK random walk, which turns edit distance into Hamming distance: a pointer walks along the words,
+A passage of an item is ``window`` consecutive words. Every place of every document is embedded by the CGK random walk, which turns edit
+distance into Hamming distance: a pointer walks along the words,
 and at each step the word under it is written out and a random bit of (step, word) says whether the
-pointer moves on. Bit-sampling LSH hashes some positions of the embedding; windows of documents and items
+pointer moves on. Bit-sampling LSH hashes some positions of the embedding; places of documents and passages
 that agree in a hash are candidates, and an exact word-level edit distance decides.
 
-Two windows that are equal have equal embeddings and meet in any repetition. With edits, each
-repetition has a fresh walk and fresh positions, and as many are made as the target recall asks for.
+Two windows that are equal have equal embeddings and meet in any repetition: without edits there is one, over the whole window. With edits, each
+repetition has a fresh walk and fresh positions, and as many are made as the target recall asks for. Two tracks are the
+same up to the first edit, so positions are drawn from a walk over half of the window, from its first word on in even repetitions and from its last word
+back in odd ones: an edit in one half leaves the other's track as it is. A candidate place is compared with the passage as the begin
+(or end) of spans of up to ``max_edits`` words less or more: a dropped word shortens a passage, an added one lengthens it.
 
 Documents are never shuffled: the items' hashes, whose size is checked, are broadcast, and if the
 items are more than one broadcast may hold they are taken in slices.
@@ -29,50 +32,38 @@ BLOCK_WORDS = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def repetitions(window: int, max_edits: int, sampled: int, target_recall: float) -> int:
-    """LSH repetitions for a target recall.
+def repetitions(max_edits: int, target_recall: float) -> int:
+    """LSH repetitions for a target recall: all edits lie in the half that a repetition does not walk with a chance of about 2 ** -max_edits.
 
-    A walk over two windows with one edit leaves the same track until the edit and finds it again after
-    a few steps, so a share of about 3 / (2 * window) per edit, at both ends of it, of the embedding differs
-    in a good walk; half the walks are counted as good. Measured recall is in the tests.
+    Even, so that both directions come alike. Measured recall is in the tests.
     """
     if not max_edits:
         return 1
-    differing = min(0.9, max_edits * 4.5 / (1.5 * window))
-    hit = 0.5 * (1 - differing) ** sampled
-    return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - hit)))
+    return 2 * math.ceil(math.log(1 - target_recall) / math.log(1 - 0.5**max_edits) / 2)
 
 
-def embed_hashes(hashes: np.ndarray, starts: np.ndarray, window: int, repetition: int, sampled: int) -> np.ndarray:
-    """The bit-sampling hash of the CGK embedding of hashes[s : s + window] for each s of ``starts``."""
-    return embed_spans(hashes, starts, window, [window], repetition, sampled)[0]
+def embed_hashes(hashes: np.ndarray, starts: np.ndarray, window: int, repetition: int, sampled: int, steps: int) -> np.ndarray:
+    """The bit-sampling hash of the CGK embedding of hashes[s : s + window] for each s of ``starts``.
 
-
-def embed_spans(hashes: np.ndarray, starts: np.ndarray, window: int, lengths: list[int], repetition: int, sampled: int) -> list[np.ndarray]:
-    """For each of ``lengths`` the bit-sampling hash of the CGK embedding of hashes[s : s + length] for each s of ``starts``.
-
-    The embedding has 3 * window positions, the walk past a span's end writes a pad symbol; ``sampled``
-    positions, drawn from the repetition's number alone, go into the hash. Spans of one start share the walk up to their ends.
+    ``sampled`` of the embedding's first ``steps`` positions, drawn from the repetition's number alone, go into the hash; the walk past the
+    window's end writes a pad symbol.
     """
     rng = np.random.default_rng(7919 * (repetition + 1))
-    # Positions late in the walk are mostly padding; those within 2 * window tell windows apart.
-    positions = set(rng.choice(2 * window, min(sampled, 2 * window), replace=False).tolist())
-    odd = rng.integers(1, 2**63, 3 * window, dtype=np.uint64) | np.uint64(1)
-    last, at = max(positions), starts.copy()
-    ends = [starts + n for n in lengths]
-    furthest = starts + max(lengths)
-    outs = [np.full(len(starts), np.uint64(repetition + 1)) for _ in lengths]
+    positions = set(rng.choice(steps, min(sampled, steps), replace=False).tolist())
+    odd = rng.integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)
+    last, at, ends = max(positions), starts.copy(), starts + window
+    out = np.full(len(starts), np.uint64(repetition + 1))
     padded = np.append(hashes, np.uint64(0))
     for step in range(last + 1):
         symbol = padded[np.minimum(at, len(hashes))]
-        symbol[at >= furthest] = 0
+        if step >= window:
+            symbol[at >= ends] = 0
         if step in positions:
-            for k, end in enumerate(ends):
-                out = (outs[k] ^ np.where(at < end, symbol, np.uint64(0))) * MULTIPLIER
-                outs[k] = out ^ (out >> np.uint64(32))
+            out = (out ^ symbol) * MULTIPLIER
+            out ^= out >> np.uint64(32)
         if step < last:
             at += ((symbol * odd[step]) >> np.uint64(63)).astype(np.int64)
-    return outs
+    return out
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -103,65 +94,72 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
 class ItemIndex:
     """All windows of a slice of items: sorted hashes per repetition, with the item and place of each."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, reps: int, sampled: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], window: int, reps: int, sampled: int, steps: int) -> None:
         hasher = Hasher()
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
-        self.window, self.reps, self.sampled = window, reps, sampled
+        self.window, self.sampled, self.steps = window, sampled, steps
         own = [np.arange(max(0, len(w) - window + 1)) for w in self.words]
         self.item = np.concatenate([np.full(len(o), k) for k, o in enumerate(own)]) if own else np.zeros(0, int)
         self.place = np.concatenate(own) if own else np.zeros(0, int)
         self.tables = []
+        hashed = [hasher(w) for w in self.words]
         for r in range(reps):
-            h = [embed_hashes(hasher(w), o, window, r, sampled) for w, o in zip(self.words, own) if len(o)]
+            h = []
+            for x, o in zip(hashed, own):
+                if len(o):
+                    h.append(embed_hashes(x[::-1], len(x) - o - window, window, r, sampled, steps) if r % 2 else embed_hashes(x, o, window, r, sampled, steps))
             h = np.concatenate(h) if h else np.zeros(0, np.uint64)
             order = np.argsort(h, kind="stable")
             self.tables.append((h[order], order))
 
 
 def find_in(
-    index: tuple, docs: list[list[str]], max_edits: int, hasher: Hasher, begun: list[int] | None = None
+    index: ItemIndex, docs: list[list[str]], max_edits: int, hasher: Hasher, begun: list[int] | None = None
 ) -> list[tuple[int, int, int, int]]:
     """(document number, item number, places of the document where a passage of the item begins, fewest edits).
 
     Only the first ``begun`` words of a document count as places.
     """
-    item, place, tables, item_words, window, sampled = index
+    window = index.window
     sizes = np.array([len(w) for w in docs], np.int64)
     begins = np.cumsum(sizes) - sizes
     # A span of n words within max_edits edits of a passage has at most max_edits words less or more.
     lengths = list(range(max(1, window - max_edits), window + max_edits + 1))
     many = np.maximum(sizes - lengths[0] + 1, 0)
-    if begun is not None:
-        many = np.minimum(many, begun)
     if not many.sum():
         return []
     hashes = np.concatenate([hasher(w) for w in docs])
-    first = np.repeat(begins, many)
-    starts = first + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     owner = np.repeat(np.arange(len(docs)), many)
-    room = np.repeat(begins + sizes, many) - starts
-    checked: set[tuple[int, int, int]] = set()
+    first = begins[owner]
+    starts = first + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    ends = starts + lengths[0]
+    limits = sizes if begun is None else np.minimum(sizes, begun)
+    checked: set[tuple[int, int, int, int]] = set()
     found: dict[tuple[int, int], list] = {}
-    for r, (sorted_hashes, order) in enumerate(tables):
+    for r, (sorted_hashes, order) in enumerate(index.tables):
         if not len(order):
             break
-        for n, h in zip(lengths, embed_spans(hashes, starts, window, lengths, r, sampled)):
-            lo = np.searchsorted(sorted_hashes, h, "left")
-            hit = np.flatnonzero((sorted_hashes[np.minimum(lo, len(order) - 1)] == h) & (room >= n))
-            hi = np.searchsorted(sorted_hashes, h[hit], "right")
-            for s, top in zip(hit.tolist(), hi.tolist()):
-                doc, begin = int(owner[s]), int(starts[s] - first[s])
-                own = docs[doc][begin : begin + n]
-                for w in order[lo[s] : top].tolist():
-                    if (s, n, w) in checked:
+        back = r % 2
+        walked = (hashes[::-1], len(hashes) - ends) if back else (hashes, starts)
+        h = embed_hashes(*walked, window, r, index.sampled, index.steps)
+        lo = np.searchsorted(sorted_hashes, h, "left")
+        hit = np.flatnonzero(sorted_hashes[np.minimum(lo, len(order) - 1)] == h)
+        hi = np.searchsorted(sorted_hashes, h[hit], "right")
+        for s, top in zip(hit.tolist(), hi.tolist()):
+            doc = int(owner[s])
+            for w in order[lo[s] : top].tolist():
+                k, p = int(index.item[w]), int(index.place[w])
+                passage = index.words[k][p : p + window]
+                for n in lengths:
+                    begin = int((ends[s] - n if back else starts[s]) - first[s])
+                    if begin < 0 or begin >= limits[doc] or begin + n > sizes[doc] or (doc, begin, n, w) in checked:
                         continue
-                    checked.add((s, n, w))
-                    k, p = int(item[w]), int(place[w])
-                    e = edit_distance(own, item_words[k][p : p + window], max_edits)
+                    checked.add((doc, begin, n, w))
+                    e = edit_distance(docs[doc][begin : begin + n], passage, max_edits)
                     if e <= max_edits:
                         f = found.setdefault((doc, k), [set(), e])
-                        f[0].add(s)
+                        f[0].add(begin)
                         f[1] = min(f[1], e)
     return [(d, k, len(v[0]), v[1]) for (d, k), v in found.items()]
 
@@ -183,23 +181,24 @@ def leaked(
         raise ValueError("window must be positive and max_edits not negative")
     if sampled is None:
         sampled = 2 * window if not max_edits else max(2, window // 3)
-    reps = repetitions(window, max_edits, sampled, target_recall)
+    reps, steps = repetitions(max_edits, target_recall), window if max_edits else 2 * window
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null").distinct()
     size = named.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(size / slice_chars))
     out = None
     for k in range(slices):
         part = named if slices == 1 else named.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
-        index = ItemIndex([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()], window, reps, sampled)
-        shared = spark.sparkContext.broadcast((index.item, index.place, index.tables, index.words, window, sampled))
-        names = spark.sparkContext.broadcast(index.ids)
+        index = ItemIndex([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()], window, reps, sampled, steps)
+        shared = spark.sparkContext.broadcast(index.__dict__)
 
-        def search(batches, shared=shared, names=names):
-            hasher, ids = Hasher(), names.value
+        def search(batches, shared=shared):
+            known = ItemIndex.__new__(ItemIndex)
+            known.__dict__.update(shared.value)
+            hasher, ids = Hasher(), known.ids
             held_ids, held, begun, held_words = [], [], [], 0
 
             def flush():
-                got = [(held_ids[d], ids[k], n, e) for d, k, n, e in find_in(shared.value, held, max_edits, hasher, begun)] if held else []
+                got = [(held_ids[d], ids[k], n, e) for d, k, n, e in find_in(known, held, max_edits, hasher, begun)] if held else []
                 return [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["doc_id", "item_id", "windows", "edits"])] if got else []
 
             for b in batches:
