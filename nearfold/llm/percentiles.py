@@ -2,22 +2,25 @@
 
 The summary is a table of (group, metric, value, count). Counts of separate days or loads are combined
 by adding them, so the summary is mergeable; with all value bits kept it is exact, and with
-``value_bits`` the values carry a relative error of at most 2 ** -value_bits.
+``value_bits`` the values carry a relative error of at most 2 ** -(value_bits - 1).
 
-The running sum is never taken over a whole group in one task. Values are cut into ranges by a
-monotone function of the value alone, so that a range holds a bounded number of distinct values
-whatever the number of rows; sums of ranges give each range its offset, and only inside a range is
-there a window running sum.
+The running sum is never taken over a whole group in one task. The summary is sorted by range: by group and value, with bounds
+sampled from the data, so that every partition holds about as many values, however large a group is and however its
+values lie. Sums per group and partition give each partition its offset, and only inside a partition is
+there a window running sum, and only where a wanted rank lies.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Ranges per doubling of 1 + |value|.
-RANGES = 64
+from ..operators.blocks import cut
+
+#: Group values per range.
+RANGE_ROWS = 1_000_000
 
 
 def value_counts(
@@ -72,15 +75,17 @@ def merge_counts(parts: Sequence[DataFrame]) -> DataFrame:
     return whole.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
-def percentiles(counts: DataFrame, points: Sequence[float]) -> DataFrame:
+def percentiles(counts: DataFrame, points: Sequence[float], range_rows: int = RANGE_ROWS) -> DataFrame:
     """The values at ``points`` of a summary: (keys, metric, n, p, value), value = v[floor(p * n)].
 
     v are the n values of the group in order, from 0; p = 1 gives the largest. Groups are the
-    columns of ``counts`` but for value and n. An empty summary gives no rows.
+    columns of ``counts`` but for value and n. An empty summary gives no rows. A range has about ``range_rows`` group values.
     """
     keys = [c for c in counts.columns if c not in ("value", "n")]
-    v = F.col("value")
-    ranged = counts.withColumn("_range", F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * RANGES))
+    held = cut(counts)
+    ranges = max(counts.sparkSession.sparkContext.defaultParallelism, math.ceil(held.count() / range_rows))
+    # Written once: a partition's number must not change between its uses.
+    ranged = cut(held.repartitionByRange(ranges, *keys, "value").withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_in"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
