@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.blocks import cut
 from .tokens import with_tokens
 
+#: Up to so many sources (about 50 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
+
 
 def source_sizes(sized: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
     """(source, target_share, max_repeats, docs, tokens) for every source of ``targets``, 0 tokens if it has none."""
@@ -15,21 +18,30 @@ def source_sizes(sized: DataFrame, targets: DataFrame, source: str = "source") -
     return wanted.join(sums, "source", "left").fillna(0, ["docs", "tokens", "target_share", "max_repeats"])
 
 
-def rates(sizes: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """Adds wanted (target_share times the total), rate (copies per record) and short.
+def closest_total(sizes: DataFrame) -> float:
+    """The largest total size at which no source with records is short, or that of all sources if it is smaller.
+
+    Every source with records then reaches its target share of the mix, up to the shares of sources without any; a larger total would keep
+    short sources below theirs and the others above.
+    """
+    usable = F.col("max_repeats") * F.col("tokens") / F.col("target_share")
+    row = sizes.agg(F.sum("tokens").alias("all"), F.min(F.when((F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0), usable)).alias("most")).first()
+    return float(min(x for x in (row["all"] or 0, row["most"]) if x is not None))
+
 
-    The total is that of all sources, or ``total_tokens``: a smaller mix comes nearer to the target shares where sources are
-    short, at the price of leaving more of the others out.
+def rates(sizes: DataFrame, total_tokens: float | str | None = None) -> DataFrame:
+    """Adds wanted (target_share times the size of all sources), short, and rate (copies per record).
 
-    rate = min(max_repeats, wanted / tokens); short is true where the cap keeps a source below its target.
-    Sources without records have rate 0. A source's size then comes as near to its target as the cap lets it.
+    short is true where the cap keeps a source below ``wanted``. rate = min(max_repeats, target_share * total / tokens), where total is that of all
+    sources, ``total_tokens``, or with "closest" the one of ``closest_total``. Sources without records have rate 0.
     """
-    total = sizes.agg((F.sum("tokens") if total_tokens is None else F.lit(float(total_tokens))).alias("total"))
+    total = sizes.agg(F.sum("tokens").alias("total"))
+    goal = F.col("total") if total_tokens is None else F.lit(closest_total(sizes) if total_tokens == "closest" else float(total_tokens))
     return (
         sizes.join(F.broadcast(total))  # one row
         .withColumn("wanted", F.col("target_share") * F.col("total"))
         .withColumn("short", F.col("max_repeats") * F.col("tokens") < F.col("wanted"))
-        .withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("wanted") / F.col("tokens"))).otherwise(0.0))
+        .withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * goal / F.col("tokens"))).otherwise(0.0))
     )
 
 
@@ -48,8 +60,10 @@ def mix(sized: DataFrame, rated: DataFrame, seed: int = 1) -> DataFrame:
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / float(1 << 53)
     whole = F.floor("rate")
     copies = (whole + F.when(drawn < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    named = cut(rated.select("source", "rate"))
+    # A hot source is never one task: the rates, a row per source, go to the records, unless there are very many sources.
     return (
-        sized.join(rated.select("source", "rate"), "source")
+        sized.join(F.broadcast(named) if named.count() <= BROADCAST_SOURCES else named, "source")
         .withColumn("_copies", copies)
         .filter("_copies > 0")
         .select("doc_id", "source", F.col("_tokens").alias("tokens"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
