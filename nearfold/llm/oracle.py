@@ -43,6 +43,15 @@ WITH b AS (SELECT query_id, id, min(distance) AS distance FROM neighbor
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM b)
 """
 
+_LINKED = """
+WITH RECURSIVE held AS (SELECT DISTINCT unnest(shard_ids) AS id FROM partition_shards),
+u AS (SELECT id, any_value(CAST(cur_row AS DOUBLE[])) AS v FROM partition_rows JOIN held USING (id)
+      WHERE len(cur_row) = 64 AND len([x FOR x IN cur_row IF x IS NULL OR isnan(x)]) = 0
+        AND len([x FOR x IN cur_row IF x <> 0]) > 0 GROUP BY id),
+e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND list_distance(a.v, b.v) * list_distance(a.v, b.v) <= 0.4),
+r AS (SELECT id AS root, id FROM u UNION SELECT r.root, e.b FROM r JOIN e ON r.id = e.a)
+"""
+
 ORACLE = {
     "p1_found": _PAIRS + "SELECT shard, id_a, id_b FROM r",
     "p1_pairs": _PAIRS + "SELECT *, round(n_ab * n / (n_a * n_b), 6) AS lift, round(ln(n_ab * n / (n_a * n_b)), 6) AS pmi FROM r",
@@ -51,6 +60,7 @@ ORACLE = {
 HAVING max(n) >= 20 AND max(v) FILTER (i = CAST(floor(0.95::DOUBLE * n) AS BIGINT)) >= 4 * max(v) FILTER (i = CAST(floor(0.5::DOUBLE * n) AS BIGINT))""",
     "p3_percentiles": _points("index_tag, search_l, week_no, metric"),
     "p3_merged": _points("index_tag, metric"),
+    "p5_found": _LINKED + "SELECT min(root) AS cluster_id, id FROM r GROUP BY id HAVING count(*) > 1",
     "p4_found": _TOP + "SELECT query_id, id FROM r WHERE rank <= 10",
     "p4_top": _TOP + "SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10",
 }

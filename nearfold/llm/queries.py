@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.blocks import cut
 from ..operators.sessions import table
 from . import bisect, cooccur, leaks, mih, mixing, percentiles, splitting, topn
 from .oracle import ORACLE
@@ -92,11 +93,11 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
 
 def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = mixing.sized_documents(table(spark, d, "documents"))
-    return sized, mixing.rates(mixing.source_sizes(sized, table(spark, d, "mix_targets")))
+    return sized, cut(mixing.rates(mixing.source_sizes(sized, table(spark, d, "mix_targets")), "closest"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _rated(spark, d)[1].filter("short").select("source")
+    return p7_shares(spark, d).filter("short").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +110,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.token_counts(table(spark, d, "documents"), above=1024).select("doc_id").distinct()
+    return p8_pieces(spark, d).filter("piece_no = 0").select("doc_id")
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
