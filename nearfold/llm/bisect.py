@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.blocks import block_pairs, cut
+from ..operators.blocks import cut
+from .blocks import block_pairs
 from .vectors import distinct_rows, group_bounds, join_hot, matrix, sorted_groups
 
-LOCAL_ROWS = 20_000
+LOCAL_ROWS = 50_000
 #: Splits of one broadcast tree, about 10 MB at 64 dimensions. Nodes still too large then are the roots of further trees.
 MOST_NODES = 20_000
 #: Planes tried for a node, in a task and across the cluster: the seeds' and those of three Lloyd steps.
@@ -28,6 +29,8 @@ CLUSTER_PLANES = 4
 #: Rows of two sides of leaf pairs are filtered by a broadcast of up to so many rows (about 600 bytes each at 64 dimensions).
 BROADCAST_SIDES = 20_000
 SALTS = 16
+#: For links, leaves with a row at more than so many times the dispersion from their centre (squared) are split further: a few far rows would let a ball meet many others.
+WIDEST = 4.0
 #: Rows of a cell, and of a block of the distance grid.
 CELL_ROWS = 8_192
 GRID_ROWS = 512
@@ -195,9 +198,11 @@ def build_tree(distinct: DataFrame, dim: int, local_rows: int, dispersion: float
     return forest, whole
 
 
-def bisect_local(vecs: np.ndarray, leaf_rows: int, dispersion: float, weights: np.ndarray | None = None, passes: int = CLUSTER_PLANES) -> np.ndarray:
+def bisect_local(
+    vecs: np.ndarray, leaf_rows: int, dispersion: float, weights: np.ndarray | None = None, passes: int = CLUSTER_PLANES, widest: float = np.inf
+) -> np.ndarray:
     """Leaf numbers of a small set: split by 2-means while a node has more than ``leaf_rows`` rows and its
-    mean squared distance to the centre exceeds ``dispersion``."""
+    mean squared distance to the centre exceeds ``dispersion``, or its largest one ``widest``."""
     n = len(vecs)
     leaf, count = np.zeros(n, np.int64), 0
     w = np.ones(n) if weights is None else weights.astype(np.float64)
@@ -208,7 +213,7 @@ def bisect_local(vecs: np.ndarray, leaf_rows: int, dispersion: float, weights: n
         total = wr.sum()
         mean = (wr @ v) / total
         var = np.maximum(wr @ (v * v) / total - mean**2, 0)
-        if len(rows) <= leaf_rows or var.sum() <= dispersion:
+        if len(rows) <= leaf_rows or var.sum() <= dispersion and (widest == np.inf or ((v - mean) ** 2).sum(1).max() <= widest):
             leaf[rows] = count
             count += 1
             continue
@@ -289,7 +294,7 @@ def _assigned(distinct: DataFrame, dim: int, dispersion: float, min_rows: int, l
     """
     forest, whole = build_tree(distinct, dim, max(local_rows, min_rows), tree_dispersion)
     shared = distinct.sparkSession.sparkContext.broadcast(whole)
-    schema = "id long, vec array<float>, node long, leaf long, distance double, root long, centre array<double>, radius double"
+    schema = "id long, vec binary, node long, leaf long, distance double, root long, centre array<double>, radius double"
 
     def finish(batches):
         for t in sorted_groups(batches, ["node"]):
@@ -298,7 +303,7 @@ def _assigned(distinct: DataFrame, dim: int, dispersion: float, min_rows: int, l
             centres, radii = [None] * len(ids), np.zeros(len(ids))
             bounds = group_bounds(t, ["node"])
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                leaf = bisect_local(vecs[lo:hi], min_rows, dispersion, copies[lo:hi])
+                leaf = bisect_local(vecs[lo:hi], min_rows, dispersion, copies[lo:hi], widest=np.inf if limit is None else WIDEST * dispersion)
                 order = lo + np.argsort(leaf, kind="stable")
                 ends = np.append(np.searchsorted(leaf[order - lo], np.arange(leaf.max() + 1)), hi - lo)
                 for x, y in zip(ends[:-1], ends[1:]):
@@ -335,7 +340,7 @@ def _assigned(distinct: DataFrame, dim: int, dispersion: float, min_rows: int, l
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dist)], [*b.schema.names, "distance"])
 
     # Large leaves are never gathered: their names and balls, a row each, go to their rows.
-    both = cut(placed.mapInArrow(measure, "id long, vec array<float>, copies long, node long, distance double"))
+    both = cut(placed.mapInArrow(measure, "id long, vec binary, copies long, node long, distance double"))
     small = both.filter(F.isnan("distance")).drop("distance").repartition("node").sortWithinPartitions("node").mapInArrow(finish, schema)
     large = both.filter(~F.isnan("distance"))
     centres = distinct.sparkSession.createDataFrame([(k, c.tolist()) for k, c in whole.items()], "node long, _c array<double>")
@@ -457,12 +462,12 @@ def linked_clusters(
 
     Two usable rows are linked if their squared L2 distance is at most ``limit``; clusters are the connected
     components, named by their smallest id. Exact: see the module's text. The tree's leaves have a dispersion of at most
-    ``max_dispersion`` (5 * ``limit`` if not given), which decides the work, not the result; nodes too large for a task are split further, down to
+    ``max_dispersion`` (20 * ``limit`` if not given), which decides the work, not the result; nodes too large for a task are split further, down to
     limit / 8. Identical vectors are linked; only one of them takes part in comparisons. Unusable rows are left out; an empty table gives no rows.
     """
     distinct, members = distinct_rows(rows, row_id, vec, dim)
     reach = float(np.sqrt(limit))
-    leaves, forest = _assigned(distinct, dim, 5 * limit if max_dispersion is None else max_dispersion, 1, local_rows, limit / 8, limit)
+    leaves, forest = _assigned(distinct, dim, 20 * limit if max_dispersion is None else max_dispersion, 1, local_rows, limit / 8, limit)
     leaves = cut(leaves)
     stars = leaves.filter("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b"))
     copies = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -501,6 +506,6 @@ def linked_clusters(
                 keep = pa.array(d <= (b.column("wide").to_numpy() + reach) * (1 + 1e-9) + 1e-9)
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("cell", "id", "vec")], ["cell", "id", "vec"])
 
-        cells = met.select("cell", "id", "vec", "other", "wide").mapInArrow(within, "cell long, id long, vec array<float>")
+        cells = cut(met.select("cell", "id", "vec", "other", "wide").mapInArrow(within, "cell long, id long, vec binary"))
         edges = edges.unionByName(_cell_links(cells, dim, limit))
     return connect(edges).select(F.col("root").alias("cluster_id"), "id")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.blocks import cut
 
@@ -13,23 +14,43 @@ HOT = 100_000
 MOST_HOT = 100_000
 
 
-def usable(vec: Column, dim: int) -> Column:
-    """True where a vector has exactly ``dim`` elements, none null, NaN or infinite, not all zero."""
-    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    some = F.exists(vec, lambda x: x != 0)
-    return F.coalesce((F.size(vec) == dim) & ~bad & some, F.lit(False))
+def packed_rows(rows: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
+    """(id, vec) of rows with an id and a usable vector: exactly ``dim`` elements, none null, NaN or infinite, not all zero.
+
+    vec is the vector's single-precision elements as bytes, which Spark moves and hands to tasks without touching elements.
+    """
+    named = rows.select(F.col(row_id).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
+
+    def pack(batches):
+        for b in batches:
+            column = b.column("vec")
+            keep = pc.and_(b.column("id").is_valid(), pc.equal(column.value_lengths().fill_null(0), dim))
+            kept = column.filter(keep)
+            x = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim) + np.float32(0)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(keep).filter(pa.array(good)), packed(x[good])], ["id", "vec"])
+
+    return named.mapInArrow(pack, "id long, vec binary")
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """A (rows, dim) array as an Arrow column of its single-precision rows as bytes."""
+    x = np.ascontiguousarray(x, np.float32)
+    offsets = np.arange(len(x) + 1, dtype=np.int64) * (x.shape[1] * 4)
+    if len(x) and offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a batch of vectors must be below 2 GiB")
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(x)])
 
 
 def distinct_rows(rows: DataFrame, row_id: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(id, vec, copies), one row per distinct vector, and (id, rep) of the ids that share a vector with others.
+    """(id, vec, copies), one row per distinct vector (packed), and (id, rep) of the ids that share a vector with others.
 
     id of a distinct vector is the smallest of the ids that carry it, which is the rep of them all. Unusable
     vectors and null ids are left out, repeated rows count once. An id is expected to carry one vector; if it came with
     several, the one of the smallest fingerprint stays. Vectors are told apart by 128-bit fingerprints, so that ids and
     fingerprints are exchanged instead of vectors; each vector is exchanged once, copies are reduced before it.
     """
-    named = rows.select(F.col(row_id).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    kept = named.filter(F.col("id").isNotNull() & usable(F.col("vec"), dim)).withColumns({"_h": F.xxhash64("vec"), "_g": F.xxhash64(F.lit(7), "vec")})
+    kept = packed_rows(rows, row_id, vec, dim).withColumns({"_h": F.xxhash64("vec"), "_g": F.xxhash64(F.lit(7), "vec")})
     marks = cut(kept.select("id", "_h", "_g").distinct())
     several = marks.groupBy("id").count().filter("count > 1")
     if not several.isEmpty():
@@ -54,9 +75,18 @@ def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, h
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """An Arrow column of lists of ``dim`` numbers as a (rows, dim) array."""
+    """An Arrow column of lists of ``dim`` numbers, or of packed vectors, as a (rows, dim) array."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        if not len(column):
+            return np.zeros((0, dim), np.float32)
+        width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(data, np.float32, (int(at[-1]) - int(at[0])) // 4, int(at[0])).reshape(-1, dim)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
