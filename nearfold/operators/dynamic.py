@@ -93,6 +93,26 @@ def consolidate(graph: DataFrame, rows: DataFrame, deleted: DataFrame, params: B
     return held.select("shard", "id", "vec", "nbrs", "entry", "dead").groupBy("shard").applyInArrow(repair, GRAPH)
 
 
+def consolidation_report(before: DataFrame, after: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(status, active, released, delete_set, unknown, repaired): what a consolidation from graph ``before`` to ``after`` did; one row.
+
+    released are the deleted ids that were in the graph, unknown those that were not, repaired the nodes that remain with other
+    neighbours. status is success, or inconsistent_count where the remaining nodes are not those before without the released ones.
+    """
+    dead = deleted.select("id").filter("id is not null").distinct()
+    old, new = (g.filter("id >= 0").select("id").distinct() for g in (before, after))
+    marked = old.withColumn("_old", F.lit(1)).join(new.withColumn("_new", F.lit(1)), "id", "full").join(dead.withColumn("_dead", F.lit(1)), "id", "full")
+    counts = marked.agg(
+        F.count("_new").alias("active"), F.count_if(F.expr("_old = 1 and _dead = 1")).alias("released"), F.count("_dead").alias("delete_set"),
+        F.count_if(F.expr("_dead = 1 and _old is null")).alias("unknown"), F.count_if(F.expr("(_old = 1 and _dead is null) <> (_new is not null)")).alias("_wrong"),
+    )
+    key = ["shard", "id"]
+    changed = before.select(*key, F.array_sort("nbrs").alias("_o")).join(after.select(*key, F.array_sort("nbrs").alias("_n")), key).filter("_o <> _n")
+    repaired = changed.agg(F.countDistinct("id").alias("repaired"))
+    status = F.when(F.col("_wrong") == 0, "success").otherwise("inconsistent_count").alias("status")
+    return counts.join(F.broadcast(repaired)).select(status, "active", "released", "delete_set", "unknown", "repaired")  # one row each
+
+
 def insert_rows(graph: DataFrame, rows: DataFrame, members: DataFrame, params: BuildParams = BuildParams(), shard_rows: int = 50_000) -> DataFrame:
     """The graph with the rows of ``members`` (shard, id) that it lacks inserted, in id order. ``rows`` (id, vec) holds old and new."""
     kept = asdict(params)

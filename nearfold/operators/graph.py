@@ -13,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.arrow import matrix
-from .exact import select_vectors
+from .blocks import cut
+from .exact import medoid, select_vectors
 from .kernels import BuildParams, build_graph, distances, greedy_search, padded_seeds, robust_prune
 
 SHARD_ROWS = 50_000
+#: Queries of one shard that one task answers; those of a popular shard come in several blocks, each with a copy of the shard.
+QUERY_BLOCK = 4096
 GRAPH = "shard int, id long, nbrs array<long>, entry boolean"
 
 
@@ -42,6 +45,28 @@ def local_graph(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
     return ids, vecs, nbrs, np.flatnonzero(t.column("entry").to_numpy(zero_copy_only=False))
 
 
+def meet(queries: DataFrame, held: DataFrame, look, schema: str, block: int = QUERY_BLOCK) -> DataFrame:
+    """Queries (shard, id, vec) and the rows of their shards (shard, ...) in one task per shard and block of queries.
+
+    Shards without queries are not moved. The number of shards bounds what is broadcast, 16 bytes each.
+    """
+    sizes = cut(queries.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")))
+    near = held.join(F.broadcast(sizes), "shard").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    asked = queries.join(F.broadcast(sizes), "shard").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).drop("_n")
+    return asked.groupBy("shard", "_b").cogroup(near.groupBy("shard", "_b")).applyInArrow(look, schema)
+
+
+def start_points(dim: int, norm: float = 1.0, count: int = 1, seed: int = 1) -> np.ndarray:
+    """(count, dim) random vectors of length ``norm``, to start searches from."""
+    x = np.random.default_rng(seed).standard_normal((count, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True) * norm
+
+
+def frozen_rows(spark, starts: np.ndarray) -> DataFrame:
+    """(id, vec): start points as rows of the reserved ids -1, -2, ..., which searches pass through and never return."""
+    return spark.createDataFrame([(-1 - i, [float(y) for y in x]) for i, x in enumerate(starts)], "id long, vec array<double>")
+
+
 def check_shards(members: DataFrame, shard_rows: int) -> None:
     """Raise if a shard holds more rows than one task may."""
     top = members.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
@@ -49,22 +74,31 @@ def check_shards(members: DataFrame, shard_rows: int) -> None:
         raise ValueError(f"a shard has {top} rows; partition into more shards, so that each has at most {shard_rows}")
 
 
-def build_sharded(rows: DataFrame, members: DataFrame, params: BuildParams = BuildParams(), shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_sharded(
+    rows: DataFrame, members: DataFrame, params: BuildParams = BuildParams(), shard_rows: int = SHARD_ROWS, starts: np.ndarray | None = None, book=None
+) -> DataFrame:
     """(shard, id, nbrs, entry): a graph per shard of ``members`` (shard, id) over ``rows`` (id, vec).
 
     Rows enter in id order, so the result is the same in every run. Members without a row drop out. Degrees are at
-    most ``params.degree``. Raises if a shard has more than ``shard_rows`` members.
+    most ``params.degree``. Raises if a shard has more than ``shard_rows`` members. ``starts`` are vectors that
+    are frozen into every shard under the ids of ``frozen_rows`` and are its entries instead of the medoid. With ``book``, a codebook, distances
+    while building are those between the vectors that codes stand for.
     """
     check_shards(members, shard_rows)
-    kept = asdict(params)
+    kept, model = asdict(params), book.__dict__ if book else None
 
     def build(key, t):
         t = _by_id(t)
         ids, vecs = t.column("id").to_numpy(), matrix(t.column("vec"))
-        nbrs, start = build_graph(vecs, BuildParams(**kept))
-        entry = np.zeros(len(ids), bool)
+        if model:
+            b = type(book)(**model)
+            vecs = b.decode(b.encode(vecs).astype(np.int64))
+        if starts is not None:
+            ids, vecs = np.append(-1 - np.arange(len(starts)), ids), np.concatenate([starts, vecs])
+        nbrs, start = build_graph(vecs, BuildParams(**kept), None if starts is None else 0)
+        entry = ids < 0
         entry[start] = True
-        return pa.table({"shard": t.column("shard"), "id": ids, "nbrs": ragged([ids[x] for x in nbrs]), "entry": entry})
+        return pa.table({"shard": np.full(len(ids), t.column("shard")[0].as_py(), np.int32), "id": ids, "nbrs": ragged([ids[x] for x in nbrs]), "entry": entry})
 
     data = members.select(F.col("shard").cast("int"), "id").distinct().join(select_vectors(rows, "id", "vec"), "id").select("shard", "id", "vec")
     return data.groupBy("shard").applyInArrow(build, GRAPH)
@@ -117,6 +151,17 @@ def merge_shards(graph: DataFrame, degree: int, seed: int = 1) -> DataFrame:
     return graph.select("id").distinct().join(kept, "id", "left").select("id", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
 
 
+def merged_graph(graph: DataFrame, rows: DataFrame, degree: int, shard_rows: int = SHARD_ROWS, seed: int = 1) -> DataFrame:
+    """(shard, id, nbrs, entry): the graphs of all shards merged into one that can be searched, entered at the medoid of all rows.
+
+    Searches take it as one shard, so it may have at most ``shard_rows`` rows; larger sets stay sharded and merge results.
+    """
+    one = merge_shards(graph, degree, seed).withColumn("shard", F.lit(0))
+    check_shards(one, shard_rows)
+    center = medoid(rows).select("id", F.lit(True).alias("entry"))
+    return one.join(F.broadcast(center), "id", "left").select("shard", "id", "nbrs", F.coalesce("entry", F.lit(False)).alias("entry"))
+
+
 def search(
     queries: DataFrame, graph: DataFrame, rows: DataFrame, k: int, list_size: int = 100, routes: DataFrame | None = None, hidden: DataFrame | None = None,
     skip_self: bool = False, metric: str = "l2", seed: int = 1,
@@ -125,7 +170,7 @@ def search(
 
     ``routes`` (query_id, shard) says where each query looks; without it, in every shard. ``hidden`` (id) are expanded
     but not returned. hops and comparisons are sums over the shards that a query looked into. k must not exceed
-    ``list_size``. A shard's graph and its queries meet in one task. With ``metric`` fast_l2 distances are norm - 2 x.q, and
+    ``list_size``. A shard's graph meets its queries in blocks of ``QUERY_BLOCK``. Frozen start points (ids below 0) never come out. With ``metric`` fast_l2 distances are norm - 2 x.q, and
     a search begins at the neighbours of the entry nodes, padded with random nodes to ``list_size`` by ``seed``.
     """
     if not 0 < k <= list_size:
@@ -156,7 +201,7 @@ def search(
         norms = None
         if metric == "fast_l2":
             norms, starts = (vecs * vecs).sum(1), padded_seeds(nbrs, starts, list_size, seed)
-        hide = t.column("hid").to_numpy(zero_copy_only=False)
+        hide = t.column("hid").to_numpy(zero_copy_only=False) | (ids < 0)
         out = [[], [], [], [], []]
         for qid, v in zip(qs.column("id").to_pylist(), matrix(qs.column("vec"))):
             best, expanded, _, count = greedy_search(vecs, nbrs, starts, v, list_size, norms)
@@ -168,7 +213,7 @@ def search(
                 c.extend(x)
         return pa.table(dict(zip(("query_id", "id", "distance", "hops", "comparisons"), (pa.array(c, ty.type) for c, ty in zip(out, empty.columns)))))
 
-    found = to.select("shard", "id", "vec").groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(look, schema)
+    found = meet(to.select("shard", "id", "vec"), held, look, schema)
     # The first row of each query and shard carries what the search there cost; the others carry 0.
     unique = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"), F.sum("hops").alias("_h"), F.sum("comparisons").alias("_c"))
     w = Window.partitionBy("query_id")

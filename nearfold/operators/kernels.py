@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,13 +10,14 @@ import numpy as np
 
 @dataclass(frozen=True)
 class BuildParams:
-    """degree R, list size L, occlusion factor alpha, candidate cap C, slack while building."""
+    """degree R, list size L, occlusion factor alpha, candidate cap C, slack while building; saturate fills lists up to R with the nearest left out."""
 
     degree: int = 64
     list_size: int = 100
     alpha: float = 1.2
     candidates: int = 750
     slack: float = 1.3
+    saturate: bool = False
 
     def __post_init__(self) -> None:
         if self.degree < 1 or self.list_size < 1 or self.alpha < 1 or self.candidates < 1 or self.slack < 1:
@@ -147,22 +149,22 @@ def saturate(chosen: np.ndarray, pool: np.ndarray, dist: np.ndarray, node: int,
     return np.append(chosen, np.array(rest[: max(0, degree - len(chosen))], np.int64))
 
 
-def build_graph(vecs: np.ndarray, p: BuildParams, fill: bool = False) -> tuple[list[np.ndarray], int]:
-    """(neighbours by row, entry row): rows are inserted in order, each by a search from the medoid, pruning and back edges."""
+def build_graph(vecs: np.ndarray, p: BuildParams, start: int | None = None) -> tuple[list[np.ndarray], int]:
+    """(neighbours by row, entry row): rows are inserted in order, each by a search from ``start`` (the medoid if not given), pruning and back edges."""
     n = len(vecs)
     nbrs = [np.zeros(0, np.int64) for _ in range(n)]
     if not n:
         return nbrs, -1
-    start = medoid_of(vecs)
+    start = medoid_of(vecs) if start is None else start
     for i in range(n):
-        insert_node(vecs, nbrs, i, start, p, fill)
+        insert_node(vecs, nbrs, i, start, p)
     for i in range(n):
         if len(nbrs[i]) > p.degree:
             nbrs[i] = robust_prune(vecs, i, nbrs[i], distances(vecs, nbrs[i], vecs[i]), p)
     return nbrs, start
 
 
-def insert_node(vecs: np.ndarray, nbrs: list[np.ndarray], node: int, start: int, p: BuildParams, fill: bool = False) -> None:
+def insert_node(vecs: np.ndarray, nbrs: list[np.ndarray], node: int, start: int, p: BuildParams) -> None:
     """Link one row into the graph: neighbours from the nodes its search expanded, and edges back to it."""
     if node == start:
         return
@@ -170,7 +172,7 @@ def insert_node(vecs: np.ndarray, nbrs: list[np.ndarray], node: int, start: int,
     # The node's edges so far come from back links; they stay candidates.
     pool, dist = np.append(pool, nbrs[node]), np.append(dist, distances(vecs, nbrs[node], vecs[node]))
     own = robust_prune(vecs, node, pool, dist, p)
-    if fill and p.alpha > 1:
+    if p.saturate and p.alpha > 1:
         own = saturate(own, pool, dist, node, p.degree)
     nbrs[node] = own
     most = int(p.degree * p.slack)
@@ -184,7 +186,7 @@ def insert_node(vecs: np.ndarray, nbrs: list[np.ndarray], node: int, start: int,
 
 @dataclass
 class Stats:
-    """What one query cost: pages read, distances by codes and in full, nodes expanded, cache hits."""
+    """What one query cost: pages read, distances by the guide, nodes expanded (whose full distances come with their pages), cache hits."""
 
     pages: int = 0
     comparisons: int = 0
@@ -193,12 +195,12 @@ class Stats:
 
 
 def beam_search(
-    vecs: np.ndarray, nbrs: list[np.ndarray], guide: np.ndarray, starts: np.ndarray, q: np.ndarray, size: int, beam: int, page_of: np.ndarray,
+    vecs: np.ndarray, nbrs: list[np.ndarray], guide: Callable[[np.ndarray], np.ndarray], starts: np.ndarray, q: np.ndarray, size: int, beam: int, page_of: np.ndarray,
     cached: np.ndarray, reuse_pages: bool, page_limit: int | None = None,
 ) -> tuple[np.ndarray, np.ndarray, Stats]:
     """Page-based search: (nodes by full distance, distances, cost).
 
-    ``guide`` holds the approximate distance of every row to the query and orders the list; a node's full
+    ``guide`` gives the approximate distances of some rows to the query, which order the list, and is asked for rows when they are first met; a node's full
     vector is known once its page was read. Each round takes up to ``beam`` open nodes; nodes marked in ``cached``
     cost nothing, the others are read page by page. With ``reuse_pages`` every node of a page once read by this
     query is free later. Stops early, with fewer results, when ``page_limit`` pages were read.
@@ -206,7 +208,7 @@ def beam_search(
     s, best, seen = Stats(), CandidateList(size), np.zeros(len(vecs), bool)
     starts = np.unique(starts)
     seen[starts] = True
-    best.add(starts, guide[starts])
+    best.add(starts, guide(starts))
     s.comparisons += len(starts)
     have: set[int] = set()
     expanded: list[int] = []
@@ -227,7 +229,7 @@ def beam_search(
             if len(new):
                 seen[new] = True
                 s.comparisons += len(new)
-                best.add(new, guide[new])
+                best.add(new, guide(new))
     nodes = np.array(expanded, np.int64)
     full = distances(vecs, nodes, q)
     order = np.lexsort((nodes, full))
