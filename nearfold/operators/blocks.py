@@ -1,15 +1,11 @@
-"""Helpers that keep every task bounded: shared checkpoints and block pairs for oversized groups."""
+"""Shared checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Up to so many oversized groups (12 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_GROUPS = 100_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def _checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only a local session without that setting gets a temporary folder, since
@@ -32,34 +28,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder that all executors share and cut its lineage."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def block_pairs(df: DataFrame, key: str, row_id: str, cap: int) -> DataFrame:
-    """Give each row the cells in which it meets every other row of its group, none above 2 * ``cap`` rows or so.
-
-    A group of at most ``cap`` rows is one cell. A larger one is dealt by hash into b = ceil(rows / cap)
-    blocks, and every unordered pair of blocks is a cell, so each pair of rows meets at least once and
-    no task sees the whole group. Adds ``block_a`` and ``block_b``; (key, block_a, block_b) is the cell.
-    """
-    big = cut(
-        df.groupBy(key)
-        .count()
-        .filter(F.col("count") > cap)
-        .select(key, F.ceil(F.col("count") / cap).cast("int").alias("_blocks"))
-    )
-    groups = big.count()
-    if not groups:
-        return df.withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
-    if groups <= BROADCAST_GROUPS:
-        big = F.broadcast(big)
-    b = F.coalesce(F.col("_blocks"), F.lit(1))
-    own = F.pmod(F.xxhash64(row_id), F.col("_n")).cast("int")
-    return (
-        df.join(big, key, "left")
-        .withColumn("_n", b)
-        .withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .withColumn("block_a", F.least("_own", "_other"))
-        .withColumn("block_b", F.greatest("_own", "_other"))
-        .drop("_blocks", "_n", "_own", "_other")
-    )

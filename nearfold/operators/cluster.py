@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrow import batch, matrix
 from ..functions.distance import METRICS
@@ -163,31 +163,36 @@ def kmeans_residual(rows: DataFrame, centers: np.ndarray, row_id: str = "id", ve
     return nearest_centers(rows, centers, 1, row_id, vec).agg(F.sum("distance").alias("residual"))
 
 
-def ram_estimate(n: int, dim: int, degree: int, element_bytes: int = 4) -> float:
-    """Bytes of an index over n rows: 1.1 * (vectors padded to 8 dimensions + 1.3 * degree neighbours + lock and list header)."""
+def ram_estimate(n: int | Column, dim: int, degree: int, element_bytes: int = 4) -> float | Column:
+    """Bytes of an index over n rows, a number or a column: 1.1 * (vectors padded to 8 dimensions + 1.3 * degree neighbours + lock and list header)."""
     padded = -(-dim // 8) * 8
     return 1.1 * (n * padded * element_bytes + n * degree * 4 * 1.3 + n * 8 + n * 24)
 
 
 def partition_for_budget(
     rows: DataFrame, dim: int, degree: int, budget_bytes: float, train_on: DataFrame | None = None, replicas: int = 2, rounds: int = 10, seed: int = 1,
-    train_rows: int = TRAIN_ROWS, most: int = 1024, row_id: str = "id", vec: str = "vec",
+    train_rows: int = TRAIN_ROWS, most: int | None = None, row_id: str = "id", vec: str = "vec",
 ) -> np.ndarray:
-    """Centres such that the largest shard's index fits the budget: 3 shards, then 2 more each time.
+    """Centres such that the largest shard's index fits the budget: 3 shards or the fewest that could fit, then 2 more each time, from 64 on a quarter more.
 
     ``train_on`` (id, vec) are the rows that train the centres, for instance sampled queries; by default the base
-    itself. Shard sizes are counted over all base rows. Raises if ``most`` shards do not suffice.
+    itself. Shard sizes are counted over all base rows. Raises if ``most`` shards, by default as many as there are training rows, do not suffice.
     """
     base = cut(select_vectors(rows, row_id, vec))
     source = base if train_on is None else train_on
     sample = training_rows(source, train_rows)
     if not len(sample):
         raise ValueError("no rows to train on")
-    for k in range(3, most + 1, 2):
+    most = len(sample) if most is None else most
+    # On average a shard holds replicas * rows / shards: fewer shards than that cannot fit.
+    fewest = replicas * ram_estimate(base.count(), dim, degree) / max(budget_bytes, 1)
+    k = max(3, 2 * (math.ceil(min(fewest, most)) // 2) + 1)
+    while k <= max(most, 3):
         centers, _, _ = lloyd_local(sample, plus_plus(sample, k, seed), rounds)
         largest = shard_sizes(shard_members(base, centers, replicas)).agg(F.max("n")).first()[0] or 0
         if ram_estimate(largest, dim, degree) <= budget_bytes:
             return centers
+        k += 2 if k < 64 else 2 * (k // 8)
     raise ValueError(f"the budget needs more than {most} shards")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.arrow import batch, matrix
 from ..functions.distance import metric as metric_of, norm_squared
 
-#: Queries per block, and the most blocks that are broadcast one by one.
+#: Queries per block, and the most blocks that are broadcast together.
 BLOCK_ROWS = 2048
 BROADCAST_BLOCKS = 16
 #: Base rows compared with a block at once: bounds the distance matrix to 16 MB.
@@ -77,9 +77,9 @@ def knn_join(
     are left out; vectors of other lengths or with NaN are an error. Ids should be unique: repeated base rows
     are ranked each. Fewer base rows give fewer ranks; empty tables give no rows.
 
-    The base is scanned where it lies. Queries come in blocks of about ``block_rows``, each broadcast (its size
-    is bounded by that number); a task keeps k rows per query, so what is shuffled does not depend on the base's
-    size per partition. Beyond ``BROADCAST_BLOCKS`` blocks, blocks of both sides meet in a shuffled grid.
+    The base is scanned once, where it lies. Up to ``BROADCAST_BLOCKS`` blocks of ``block_rows`` queries are broadcast (32,768 queries
+    of 64 dimensions are 16 MB); a task compares them block by block and keeps k rows per query, so that what is shuffled is
+    k rows per query and task, whatever the rows of a task. More queries meet the base in a shuffled grid of blocks.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -89,22 +89,21 @@ def knn_join(
     n = q.count()
     blocks = max(1, math.ceil(n / block_rows))
     if blocks <= BROADCAST_BLOCKS:
-        found = None
-        for i in range(blocks):
-            part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-            t = part.orderBy("id").toArrow()
-            shared = spark.sparkContext.broadcast((t.column("id").to_numpy(), matrix(t.column("vec"))))
-
-            def scan(batches, shared=shared):
-                ids, vecs = shared.value
-                near = Nearest(ids, vecs, k, metric, skip_self)
-                for x in batches:
-                    if x.num_rows and len(ids):
-                        near.add(x.column("id").to_numpy(), matrix(x.column("vec")))
-                yield near.result()
-
-            one = b.mapInArrow(scan, _FOUND)
-            found = one if found is None else found.unionByName(one)
+        t = q.orderBy("id").toArrow()
+        shared = spark.sparkContext.broadcast((t.column("id").to_numpy(), matrix(t.column("vec"))))
+
+        def scan(batches):
+            ids, vecs = shared.value
+            near = [Nearest(ids[i : i + block_rows], vecs[i : i + block_rows], k, metric, skip_self) for i in range(0, len(ids), block_rows)]
+            for x in batches:
+                if x.num_rows:
+                    own, held = x.column("id").to_numpy(), matrix(x.column("vec"))
+                    for block in near:
+                        block.add(own, held)
+            for block in near:
+                yield block.result()
+
+        found = b.mapInArrow(scan, _FOUND)
     else:
         found = _grid(q, b, k, metric, skip_self, blocks, block_rows)
     order = F.col("distance").desc() if metric_of(metric).sign < 0 else F.col("distance").asc()
@@ -155,7 +154,7 @@ def range_join(
     """
     spark, m = base.sparkSession, metric_of(metric)
     q, b = select_vectors(queries, query_id, query_vec), select_vectors(base, base_id, base_vec)
-    blocks, out = max(1, math.ceil(q.count() / block_rows)), None
+    blocks = max(1, math.ceil(q.count() / block_rows))
     if blocks > BROADCAST_BLOCKS:
 
         def cell(qs, bs):
@@ -165,20 +164,18 @@ def range_join(
             return pa.Table.from_batches(got)
 
         return _cells(q, b, blocks, block_rows, cell)
-    for i in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-        t = part.orderBy("id").toArrow()
-        shared = spark.sparkContext.broadcast((t.column("id").to_numpy(), matrix(t.column("vec"))))
-
-        def scan(batches, shared=shared):
-            ids, vecs = shared.value
-            for x in batches:
-                if x.num_rows and len(ids):
-                    yield from _within(ids, vecs, x.column("id").to_numpy(), matrix(x.column("vec")), m, radius, skip_self)
-
-        one = b.mapInArrow(scan, _FOUND)
-        out = one if out is None else out.unionByName(one)
-    return out
+    t = q.orderBy("id").toArrow()
+    shared = spark.sparkContext.broadcast((t.column("id").to_numpy(), matrix(t.column("vec"))))
+
+    def scan(batches):
+        ids, vecs = shared.value
+        for x in batches:
+            if x.num_rows:
+                own, held = x.column("id").to_numpy(), matrix(x.column("vec"))
+                for i in range(0, len(ids), block_rows):
+                    yield from _within(ids[i : i + block_rows], vecs[i : i + block_rows], own, held, m, radius, skip_self)
+
+    return b.mapInArrow(scan, _FOUND)
 
 
 def knn_graph(base: DataFrame, k: int, metric: str = "l2", row_id: str = "id", vec: str = "vec") -> DataFrame:

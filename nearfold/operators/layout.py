@@ -64,20 +64,28 @@ def path_stats(paths: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("paths"), F.avg("n").alias("avg_length"), F.max("n").alias("max_length")).join(F.broadcast(nodes))  # one row each
 
 
-def number_globally(rows: DataFrame, order: list, name: str, buckets: int = 64) -> DataFrame:
+#: Rows of a range when rows are numbered.
+NUMBER_ROWS = 1_000_000
+
+
+def number_globally(rows: DataFrame, order: list, name: str, buckets: int | None = None) -> DataFrame:
     """Adds ``name`` = 0, 1, ... in the order of ``order`` columns, without sorting all rows in one task.
 
-    Rows are range-partitioned, counted per partition, and numbered inside it from the sum of those before. The
+    Rows are range-partitioned, by their number if ``buckets`` is not given, counted per partition, and numbered inside it from the sum of those before. The
     partitioned rows are written to the checkpoint folder first, so that counts and numbers see the same partitions.
     """
     from .blocks import cut
 
-    parts = cut(rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sums = parts.groupBy("_p").agg(F.count("*").alias("_c"))
+    if buckets is None:
+        buckets = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // NUMBER_ROWS))
+    # The number that Spark gives a row holds its partition above bit 33 and its place in the partition below.
+    parts = cut(rows.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    sums = parts.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``buckets`` rows
     offsets = sums.select("_p", before.alias("_before"))
-    in_part = F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1
-    return parts.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_before") + in_part).cast("long")).drop("_p", "_i", "_before")
+    numbered = parts.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return numbered.withColumn(name, (F.col("_before") + place).cast("long")).drop("_p", "_i", "_before")
 
 
 def first_rows(rows: DataFrame, order: list, n: int) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrow import batch, matrix, vectors
 from ..functions.distance import METRICS
 from .cluster import lloyd_local, plus_plus, training_rows
-from .exact import select_vectors
+from .exact import BROADCAST_BLOCKS, select_vectors
 
 
 def chunk_offsets(dim: int, chunks: int) -> list[int]:
@@ -21,8 +22,10 @@ def chunk_offsets(dim: int, chunks: int) -> list[int]:
     return [i * small + min(i, extra) for i in range(chunks + 1)]
 
 
-def chunk_count(budget_bytes: float, n: int, dim: int, most: int = 256) -> int:
-    """Chunks (bytes per row) that a RAM budget allows: floor(budget / n), between 1 and min(dim, most)."""
+def chunk_count(budget_bytes: float, n: int | Column, dim: int, most: int = 256) -> int | Column:
+    """Chunks (bytes per row) that a RAM budget allows for n rows, a number or a column: floor(budget / n), between 1 and min(dim, most)."""
+    if isinstance(n, Column):
+        return F.greatest(F.lit(1), F.least(F.floor(F.lit(float(budget_bytes)) / F.greatest(n, F.lit(1))), F.lit(min(dim, most)))).cast("long")
     return int(max(1, min(budget_bytes // max(n, 1), dim, most)))
 
 
@@ -95,13 +98,15 @@ def train(
 
 
 def train_rotated(
-    rows: DataFrame, chunks: int, codes: int = 256, rounds: int = 20, inner: int = 8, seed: int = 1, train_rows: int = 50_000,
+    rows: DataFrame, chunks: int, codes: int = 256, centre: bool = False, rounds: int = 20, inner: int = 8, seed: int = 1, train_rows: int = 50_000,
     row_id: str = "id", vec: str = "vec",
 ) -> Codebook:
     """Optimised codebook: alternate per-chunk k-means in the rotated space with the rotation that best
-    maps the rows onto their decoded forms (orthogonal Procrustes, by SVD). On the bounded sample, uncentred."""
+    maps the rows onto their decoded forms (orthogonal Procrustes, by SVD). On the bounded sample."""
     x = training_rows(rows, train_rows, row_id, vec)
     dim = x.shape[1]
+    mean = x.mean(0) if centre else np.zeros(dim)
+    x = x - mean
     offsets = chunk_offsets(dim, chunks)
     rotation, centers = np.eye(dim), None
     for r in range(rounds):
@@ -116,7 +121,7 @@ def train_rotated(
         if r < rounds - 1:
             u, _, vt = np.linalg.svd(x.T @ np.concatenate(decoded, 1))
             rotation = u @ vt
-    return Codebook(offsets, centers, np.zeros(dim), rotation)
+    return Codebook(offsets, centers, mean, rotation)
 
 
 def encode(rows: DataFrame, book: Codebook, row_id: str = "id", vec: str = "vec") -> DataFrame:
@@ -145,51 +150,77 @@ def decode(codes: DataFrame, book: Codebook) -> DataFrame:
     return codes.select("id", "codes").mapInArrow(run, "id long, vec array<double>")
 
 
+class NearestCodes:
+    """The k rows nearest by table look-up so far of each of a block of queries, by (distance, id)."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, book: Codebook, k: int, metric: str, skip_self: bool, ties: bool) -> None:
+        self.ids, self.book, self.k, self.skip_self, self.ties = ids, book, k, skip_self, ties
+        self.tables = book.tables(vecs, metric)
+        self.rows, self.found, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, own: np.ndarray, codes: np.ndarray) -> None:
+        for lo in range(0, len(own), 2048):
+            d = self.book.distances(self.tables, codes[lo : lo + 2048])
+            if self.skip_self:
+                d[self.ids[:, None] == own[None, lo : lo + 2048]] = np.inf
+            kk = min(self.k, d.shape[1])
+            r, j = np.nonzero((d <= np.partition(d, kk - 1, 1)[:, kk - 1 : kk]) & (d < np.inf))
+            rows, found, value = np.append(self.rows, r), np.append(self.found, own[lo + j]), np.append(self.value, d[r, j])
+            o = np.lexsort((found, value, rows))
+            rows, found, value = rows[o], found[o], value[o]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(self.ids)))[rows]
+            keep = rank < self.k
+            if self.ties:
+                edge = np.full(len(self.ids), np.inf)
+                edge[rows[rank == self.k - 1]] = value[rank == self.k - 1]
+                keep = value <= edge[rows]
+            self.rows, self.found, self.value = rows[keep], found[keep], value[keep]
+
+    def result(self):
+        return batch(query_id=self.ids[self.rows], id=self.found, distance=self.value)
+
+
 def adc_scan(queries: DataFrame, codes: DataFrame, book: Codebook, k: int, metric: str = "l2", skip_self: bool = False, block_rows: int = 1024, ties: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k rows nearest by table look-up over all codes, by (distance, id).
 
-    Queries (id, vec) come in broadcast blocks of about ``block_rows``; a task keeps k rows per query. ip gives minus
+    Up to ``BROADCAST_BLOCKS`` blocks of ``block_rows`` queries (id, vec) are broadcast and the codes are scanned once, where they lie; a
+    task keeps k rows per query. More queries meet the codes in a shuffled grid of blocks. ip gives minus
     the inner product. With ``ties`` all rows at the k-th distance come too (rows of equal codes tie), and ranks are shared.
     """
     spark = codes.sparkSession
-    q = select_vectors(queries, "id", "vec")
-    blocks, found = max(1, -(-q.count() // block_rows)), None
-    for i in range(blocks):
-        t = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).orderBy("id").toArrow()
+    q, c = select_vectors(queries, "id", "vec"), codes.select("id", "codes")
+    n, found_ = q.count(), "query_id long, id long, distance double"
+    blocks = max(1, -(-n // block_rows))
+    if blocks <= BROADCAST_BLOCKS:
+        t = q.orderBy("id").toArrow()
         shared = spark.sparkContext.broadcast((book.__dict__, t.column("id").to_numpy(), matrix(t.column("vec"))))
 
-        def scan(batches, shared=shared):
+        def scan(batches):
             held, ids, vecs = shared.value
-            b_ = Codebook(**held)
-            if not len(ids):
-                return
-            tables = b_.tables(vecs, metric)
-            rows = np.zeros(0, np.int64)
-            found_, value = np.zeros(0, np.int64), np.zeros(0)
+            near = [NearestCodes(ids[i : i + block_rows], vecs[i : i + block_rows], Codebook(**held), k, metric, skip_self, ties) for i in range(0, len(ids), block_rows)]
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own, c = b.column("id").to_numpy(), matrix(b.column("codes")).astype(np.int64)
-                for lo in range(0, len(own), 2048):
-                    d = b_.distances(tables, c[lo : lo + 2048])
-                    if skip_self:
-                        d[ids[:, None] == own[None, lo : lo + 2048]] = np.inf
-                    kk = min(k, d.shape[1])
-                    r, j = np.nonzero((d <= np.partition(d, kk - 1, 1)[:, kk - 1 : kk]) & (d < np.inf))
-                    rows, found_, value = np.append(rows, r), np.append(found_, own[lo + j]), np.append(value, d[r, j])
-                    o = np.lexsort((found_, value, rows))
-                    rows, found_, value = rows[o], found_[o], value[o]
-                    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(ids)))[rows]
-                    keep = rank < k
-                    if ties:
-                        edge = np.full(len(ids), np.inf)
-                        edge[rows[rank == k - 1]] = value[rank == k - 1]
-                        keep = value <= edge[rows]
-                    rows, found_, value = rows[keep], found_[keep], value[keep]
-            yield batch(query_id=ids[rows], id=found_, distance=value)
-
-        one = codes.select("id", "codes").mapInArrow(scan, "query_id long, id long, distance double")
-        found = one if found is None else found.unionByName(one)
+                if b.num_rows:
+                    own, coded = b.column("id").to_numpy(), matrix(b.column("codes")).astype(np.int64)
+                    for block in near:
+                        block.add(own, coded)
+            for block in near:
+                yield block.result()
+
+        found = c.mapInArrow(scan, found_)
+    else:
+        model = spark.sparkContext.broadcast(book.__dict__)
+        sides = max(1, -(-c.count() // (64 * block_rows)))
+
+        def cell(qs, cs):
+            near = NearestCodes(qs.column("id").to_numpy(), matrix(qs.column("vec")), Codebook(**model.value), k, metric, skip_self, ties)
+            if qs.num_rows and cs.num_rows:
+                near.add(cs.column("id").to_numpy(), matrix(cs.column("codes")).astype(np.int64))
+            return pa.Table.from_batches([near.result()])
+
+        hashed = F.xxhash64("id")
+        left = q.select("id", "vec", F.pmod(hashed, F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("j"))
+        right = c.select("id", "codes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(hashed, F.lit(sides)).cast("int").alias("j"))
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, found_)
     order = Window.partitionBy("query_id")
     rank = F.rank().over(order.orderBy("distance")) if ties else F.row_number().over(order.orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
