@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.pq import Codebook
+from . import files
 from .vecfile import read_vectors, save_vectors
 
 #: Fixed values of the codebook format: room for the section table, and the rotation's file name.
@@ -42,13 +41,9 @@ def save_ids(ids: DataFrame, path: str, element: str = "uint32") -> None:
     save_vectors(ids.select(F.col("place").alias("id"), F.array("id").alias("vec")), path, "bin", element)
 
 
-def _section(f, at: int, kind: str) -> np.ndarray:
-    f.seek(at)
-    n, d = np.fromfile(f, "<i4", 2)
-    got = np.fromfile(f, kind, n * d)
-    if len(got) != n * d:
-        raise ValueError("a section ends early")
-    return got.reshape(n, d)
+def _section(f: files.ByteFile, at: int, kind: str) -> np.ndarray:
+    n, d = (int(x) for x in f.array("<i4", 2, at))
+    return f.array(kind, n * d, at + 8).reshape(n, d)
 
 
 def read_codebook(path: str) -> Codebook:
@@ -57,7 +52,7 @@ def read_codebook(path: str) -> Codebook:
     With five offsets, as older files have, the chunk starts are the fourth section. The rotation comes from the file of the
     same name and ``ROTATION_SUFFIX`` if there is one.
     """
-    with open(path, "rb") as f:
+    with files.ByteFile(path) as f:
         offsets = _section(f, 0, "<u8").ravel()
         if len(offsets) not in (4, 5):
             raise ValueError(f"{path}: {len(offsets)} section offsets, expected 4 or 5")
@@ -67,8 +62,8 @@ def read_codebook(path: str) -> Codebook:
     if len(centers) != 256 or centroid.shape != (dim, 1) or len(starts) < 2 or starts[0] != 0 or starts[-1] != dim:
         raise ValueError(f"{path}: sections don't fit together")
     rotation = None
-    if os.path.exists(path + ROTATION_SUFFIX):
-        with open(path + ROTATION_SUFFIX, "rb") as f:
+    if files.exists(path + ROTATION_SUFFIX):
+        with files.ByteFile(path + ROTATION_SUFFIX) as f:
             rotation = _section(f, 0, "<f4").astype(np.float64)
         if rotation.shape != (dim, dim):
             raise ValueError(f"{path}: the rotation is no {dim} x {dim} matrix")
@@ -86,10 +81,10 @@ def save_codebook(book: Codebook, path: str) -> None:
 
     parts = [section(np.concatenate(book.centers, 1), "<f4"), section(book.centroid, "<f4"), section(np.array(book.offsets), "<u4")]
     offsets = np.cumsum([SECTION_TABLE_BYTES, *map(len, parts)])
-    with open(path, "wb") as f:
+    with files.write(path) as f:
         f.write(section(offsets, "<u8").ljust(SECTION_TABLE_BYTES, b"\0") + b"".join(parts))
     if book.rotation is not None:
-        with open(path + ROTATION_SUFFIX, "wb") as f:
+        with files.write(path + ROTATION_SUFFIX) as f:
             f.write(section(book.rotation, "<f4"))
 
 

@@ -184,3 +184,47 @@ def test_index_follows_a_stream(spark, tmp_path):
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts)
     window.run_available(updates.maintain(s, cat2, "w", params, str(tmp_path / "at2"), 100))
     assert sorted(r.id for r in cat2.load("w").rows.collect()) == list(range(160, 260))
+
+
+def test_folders_graphs_and_permutations(spark, tmp_path):
+    x = [[float(i), i / 2] for i in range(50)]
+    for kind in ("bin", "fvecs"):
+        p = str(tmp_path / f"{kind}.parts")
+        vecfile.save_vectors(frame(spark, x), p, kind, partitions=4, folder=True)
+        assert [(r.id, list(r.vec)) for r in vecfile.read_vectors(spark, p, kind, rows_per_task=7).orderBy("id").collect()] == list(enumerate(x))
+        assert [r.id for r in vecfile.read_vectors(spark, p, kind).filter("id >= 20 and id < 23").orderBy("id").collect()] == [20, 21, 22]
+    assert vecfile.header(str(tmp_path / "bin.parts")) == (50, 2)
+    with pytest.raises(Exception, match="a folder of bin files"):
+        vecfile.read_vectors(spark, str(tmp_path / "bin.parts"), "fvecs").count()
+    g = [(i, [(i + 1) % 30, (i * 7) % 30][: i % 3], i == 17) for i in range(30)]
+    p = f"file://{tmp_path}/graph"
+    vecfile.save_graph(spark.createDataFrame(g, "id long, nbrs array<long>, entry boolean"), p, partitions=3)
+    assert sorted((r.id, list(r.nbrs), r.entry) for r in vecfile.read_vectors(spark, p, "graph").collect()) == g
+    with pytest.raises(ValueError):
+        vecfile.save_graph(spark.createDataFrame([(1, [2], True)], "id long, nbrs array<long>, entry boolean"), p)
+    m = [(i, (i * 7) % 10) for i in range(10)]
+    p = str(tmp_path / "permutation")
+    vecfile.save_permutation(spark.createDataFrame(m, "logical_id long, physical_id long"), p, partitions=2)
+    assert sorted(map(tuple, vecfile.read_permutation(spark, p).collect())) == m
+    assert sorted(map(tuple, vecfile.read_permutation(spark, p + "-none", 3).collect())) == [(0, 0), (1, 1), (2, 2)]
+    with pytest.raises(ValueError):
+        vecfile.save_permutation(spark.createDataFrame([(0, 1)], "logical_id long, physical_id long"), p)
+
+
+def test_server_and_client(spark):
+    import threading
+
+    b = frame(spark, np.eye(4).tolist())
+    server = service.serve(spark, lambda q, k: exact.knn_join(q, b, k), tags=b.select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("tag")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        one = service.ask(url, [1.0, 0, 0, 0], 2, query_id=9)
+        assert one["indices"][0] == 0 and one["distances"][0] == 0 and one["tags"][0] == "t0" and one["query_id"] == 9 and one["time_taken_in_us"] > 0
+        assert [x["indices"] for x in service.ask(url, [[0.0, 1, 0, 0], [0.0, 0, 0, 1]], 1)] == [[1], [3]]
+        for k in (-1, 0):
+            with pytest.raises(ValueError, match="k must be positive"):
+                service.ask(url, [1.0, 0, 0, 0], k)
+    finally:
+        server.shutdown()
+        server.server_close()
