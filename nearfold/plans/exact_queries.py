@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import distance as D, vectors as V
 from ..operators import evaluate, exact
 from ..operators.sessions import table
+from ..operators.tags import live_results, truth_sizes, truth_within, vectors_by_tag, with_tags
 from .registry import query
 
 K = 10
@@ -295,22 +296,35 @@ FROM knn JOIN base USING (id)""")
 def tag_lookup(spark, d):
     b = base(spark, d)
     tags = b.select("id", F.concat(F.lit("tag_"), F.col("label").cast("string"), F.lit("_"), F.col("id").cast("string")).alias("tag"))
-    return knn(spark, d).join(tags, "id").select("query_id", "rank", "id", "tag")
+    return with_tags(knn(spark, d), tags, strict=True).select("query_id", "rank", "id", "tag")
 
 
 @query(f"WITH {BASE}, {sql_knn(sql_l2('q.vec', 'b.vec'), 30)} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM knn WHERE distance <= 30")
 def truth_pruned(spark, d):
     """A k-NN truth set cut at a radius."""
-    return rounded(knn(spark, d, "l2", 30).filter(F.col("distance") <= 30), "distance")
+    return rounded(truth_within(knn(spark, d, "l2", 30), 30), "distance")
 
 
 @query(f"WITH {BASE}, {sql_knn(sql_l2('q.vec', 'b.vec'), 30)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, id + 1 AS tag FROM knn WHERE id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
 def search_live_tags(spark, d):
     """Results whose tag is live, in order, cut at k; tag = id + 1, as 0 is reserved."""
     live = base(spark, d).filter(F.col("id") % 7 != 0).select("id", (F.col("id") + 1).alias("tag"))
-    kept = knn(spark, d, "l2", 30).join(live, "id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
-    return kept.select("query_id", rank.alias("rank"), "tag").filter(F.col("rank") <= 10)
+    return live_results(knn(spark, d, "l2", 30), live, 10)
+
+
+@query(f"WITH {BASE}, {sql_knn(sql_l2('q.vec', 'b.vec'), 30)}, c AS (SELECT a.id, count(k.id) AS n FROM base a LEFT JOIN knn k ON k.query_id = a.id AND k.distance <= 30 WHERE a.id % 100 = 0 GROUP BY 1) SELECT count(*) AS queries, min(n) AS least, max(n) AS most FROM c")
+def truth_pruned_sizes(spark, d):
+    """How many rows the queries keep when a truth set is cut at a radius."""
+    return truth_sizes(truth_within(knn(spark, d, "l2", 30), 30), asked(base(spark, d)))
+
+
+@query(f"WITH {BASE} SELECT id + 1 AS tag, list_transform(vec, lambda x: round(x, 6)) AS vec FROM base WHERE id % 50 = 0")
+def vectors_of_tags(spark, d):
+    """The vectors that carry given tags; tag = id + 1."""
+    b = base(spark, d)
+    tags = b.select("id", (F.col("id") + 1).alias("tag"))
+    got = vectors_by_tag(tags, b, tags.filter(F.col("id") % 50 == 0))
+    return got.select("tag", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query(f"""WITH {BASE}, {sql_knn(sql_l2('q.vec', 'b.vec'))}, t AS (SELECT query_id, rank, id % 5 * 1000 + id AS tag, id % 5 AS h, distance FROM knn)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import cluster, disk, dynamic, evaluate, graph as G, layout, pq
 from ..operators.kernels import BuildParams
 from ..operators.sessions import table
-from .exact_queries import GRAPH, K, asked, base, graph as knn_graph_of, knn, rounded, sql_l2
+from .checks import REACHED, recall_reached, results_right, sql_right
+from .exact_queries import BASE, GRAPH, K, asked, base, graph as knn_graph_of, knn, rounded, sql_l2
 from .index_queries import _NEAR, fixed_centres, top2_shards
 from .registry import query
 
@@ -21,33 +22,62 @@ def built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return b, cut(G.build_sharded(b, top2_shards(spark, d), PARAMS))
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
 def graph_search_recall(spark, d):
-    """Recall of greedy search in sharded graphs, every query in every shard."""
+    """Whether greedy search in sharded graphs, every query in every shard, has a recall of 90."""
     b, g = built(spark, d)
-    return evaluate.recall_at(G.search(asked(b), g, b, K, 48, skip_self=True), knn(spark, d), K)
+    return recall_reached(G.search(asked(b), g, b, K, 48, skip_self=True), knn(spark, d), K, 90)
 
 
-@query()
+@query(f"WITH {BASE} {sql_right(K)}")
 def graph_search_routed(spark, d):
     """Results when each query looks into its two nearest shards only."""
     b, g = built(spark, d)
     routes = cluster.nearest_centers(asked(b), fixed_centres(spark, d), 2).select(F.col("id").alias("query_id"), F.col("center").alias("shard"))
-    return rounded(G.search(asked(b), g, b, K, 48, routes, skip_self=True), "distance")
+    return results_right(G.search(asked(b), g, b, K, 48, routes, skip_self=True), b, asked(b), K)
 
 
-@query()
+@query(f"WITH {BASE} SELECT count(*) AS nodes, true AS within_degree, true AS no_loops, true AS every_node_leads_on FROM base")
 def merged_graph_degrees(spark, d):
-    """Degree statistics of the shards' graphs merged into one."""
-    return evaluate.degree_stats(G.merge_shards(built(spark, d)[1], PARAMS.degree))
+    """The shards' graphs merged into one: every row once, no list above the degree, no edge to itself, no empty list."""
+    g = G.merge_shards(built(spark, d)[1], PARAMS.degree)
+    return g.agg(
+        F.countDistinct("id").alias("nodes"), F.min(F.size("nbrs") <= PARAMS.degree).alias("within_degree"), F.min(~F.array_contains("nbrs", F.col("id"))).alias("no_loops"),
+        F.min(F.size("nbrs") > 0).alias("every_node_leads_on"),
+    )
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
+def merged_graph_recall(spark, d):
+    """Whether the merged graph, searched from the medoid of all rows, has a recall of 90."""
+    b, g = built(spark, d)
+    one = G.merged_graph(g, b, PARAMS.degree * 2)
+    return recall_reached(G.search(asked(b), one, b, K, 100, skip_self=True), knn(spark, d), K, 90)
+
+
+@query(f"WITH {BASE} {REACHED}")
 def bulk_graph_recall(spark, d):
-    """Recall with graphs built in blocks instead of by insertion."""
+    """Whether graphs built in blocks instead of by insertion have a recall of 90."""
     b = base(spark, d).select("id", "vec")
     g = G.build_bulk(b, top2_shards(spark, d), PARAMS)
-    return evaluate.recall_at(G.search(asked(b), g, b, K, 48, skip_self=True), knn(spark, d), K)
+    return recall_reached(G.search(asked(b), g, b, K, 48, skip_self=True), knn(spark, d), K, 90)
+
+
+@query(f"WITH {BASE} {REACHED}")
+def fast_l2_graph_recall(spark, d):
+    """Whether graph search by norm - 2 x.q, from padded seeds, has a recall of 90."""
+    b, g = built(spark, d)
+    return recall_reached(G.search(asked(b), g, b, K, 48, skip_self=True, metric="fast_l2"), knn(spark, d), K, 90)
+
+
+@query(f"WITH {BASE} {REACHED}")
+def code_built_graph_recall(spark, d):
+    """Whether graphs built on distances between codes, with a frozen start point and saturated lists, have a recall of 90."""
+    b = base(spark, d).select("id", "vec")
+    starts = G.start_points(64, 5.0)
+    params = BuildParams(degree=24, list_size=48, saturate=True)
+    g = G.build_sharded(b, top2_shards(spark, d), params, starts=starts, book=pq.train(b, 32, 64, seed=3))
+    return recall_reached(G.search(asked(b), g, b.unionByName(G.frozen_rows(spark, starts)), K, 64, skip_self=True), knn(spark, d), K, 90)
 
 
 _KNN_SHARDS = f"""{_NEAR}, m AS (SELECT center AS shard, id, vec FROM n WHERE rank <= 2),
@@ -129,6 +159,15 @@ def unique_pages(spark, d):
     return layout.unique_pages(paths(spark, d), layout.first_seen_layout(paths(spark, d), all_ids(spark, d), PER_PAGE))
 
 
+@query(f"WITH {_IDS} SELECT count(*) AS nodes, count(*) AS places, 0 AS first, count(*) - 1 AS last, true AS pages_right FROM ids")
+def covisit_layout_bijection(spark, d):
+    """The layout of ``covisit_layout`` gives every id a place of its own, without gaps, and pages by place."""
+    lay = covisit_layout(spark, d)
+    page = (F.col("page_no") == F.floor(F.col("physical_id") / PER_PAGE) + 1) & (F.col("slot") == F.col("physical_id") % PER_PAGE)
+    p = F.col("physical_id")
+    return lay.agg(F.countDistinct("logical_id").alias("nodes"), F.countDistinct(p).alias("places"), F.min(p).cast("int").alias("first"), F.max(p).alias("last"), F.min(page).alias("pages_right"))
+
+
 @query()
 def covisit_layout(spark, d):
     """Breadth-first layout over the co-visit edges of each shard's searches; an id goes to the shard that visits it most."""
@@ -146,28 +185,53 @@ def _disk(spark, d, reuse: bool, cached: bool = False) -> DataFrame:
     lay = layout.identity_layout(b, PER_PAGE)
     book = pq.train(b, 16, 32, seed=3)
     cache = layout.cache_by_levels(g.select("id", "nbrs"), g.filter("entry").select("id"), 0.1) if cached else None
-    return disk.page_search(asked(b), g, b, lay, K, 48, 2, book, reuse, cache, skip_self=True)
+    return disk.page_search(asked(b), g, b, lay, K, 48, 2, book, reuse, cache, skip_self=True, codes=pq.encode(b, book))
 
 
-@query()
+@query(f"WITH {BASE} {sql_right(K)}")
 def beam_search(spark, d):
-    return rounded(_disk(spark, d, False), "distance")
+    b = base(spark, d)
+    return results_right(_disk(spark, d, False), b, asked(b), K)
 
 
-@query()
+@query(f"WITH {BASE} {sql_right(K)}")
 def page_aware_search(spark, d):
-    return rounded(_disk(spark, d, True), "distance")
+    b = base(spark, d)
+    return results_right(_disk(spark, d, True), b, asked(b), K)
 
 
-@query()
+@query(f"WITH {BASE} {sql_right(K)}")
 def cached_page_search(spark, d):
-    return rounded(_disk(spark, d, True, True), "distance")
+    b = base(spark, d)
+    return results_right(_disk(spark, d, True, True), b, asked(b), K)
 
 
-@query()
+@query(f"WITH {BASE} SELECT count(*) AS queries, true AS reached, true AS counted, true AS same_results FROM asked")
+def page_search_costs(spark, d):
+    """Page-aware search: a recall of 90; with reuse the same results and no more pages; every query has read a page and compared rows, fewer than all."""
+    from ..operators.blocks import cut
+
+    plain, reuse = (cut(_disk(spark, d, x)) for x in (False, True))
+    n = base(spark, d).count()
+    one, two = (x.filter("rank = 1").select("query_id", F.col("pages").alias(f"p{i}"), F.col("comparisons").alias(f"c{i}")) for i, x in enumerate((plain, reuse)))
+    key = ["query_id", "rank", "id"]
+    other = plain.select(*key).exceptAll(reuse.select(*key)).agg((F.count("*") == 0).alias("same_results"))
+    counted = (F.col("p1") > 0) & (F.col("p1") <= F.col("p0")) & (F.col("c1") > K) & (F.col("c1") < 2 * n)
+    costs = one.join(two, "query_id").agg(F.min(counted).alias("counted"))
+    return recall_reached(reuse, knn(spark, d), K, 90).join(F.broadcast(costs)).join(F.broadcast(other))  # one row each
+
+
+@query(f"WITH {BASE}, d AS (SELECT q.id AS query_id, b.id AS id FROM asked q, base b WHERE q.id <> b.id AND {sql_l2('q.vec', 'b.vec')} <= 30) SELECT count(DISTINCT query_id) AS queries, true AS reached, true AS within FROM d")
 def range_graph_search(spark, d):
+    """Range search in the graphs: 90 of 100 rows within the radius, and none beyond it."""
     b, g = built(spark, d)
-    return rounded(disk.range_search(asked(b), g, b, layout.identity_layout(b, PER_PAGE), 30.0, 50, 500, skip_self=True), "distance")
+    found = disk.range_search(asked(b), g, b, layout.identity_layout(b, PER_PAGE), 30.0, 50, 500, skip_self=True)
+    from ..operators import exact
+
+    truth = exact.range_join(asked(b), b, 30.0, skip_self=True).select("query_id", "id")
+    hits = truth.join(found.select("query_id", "id", F.lit(1).alias("_hit")), ["query_id", "id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("_share"))
+    inside = found.agg(F.coalesce(F.max("distance") <= 30, F.lit(True)).alias("within"))
+    return hits.agg(F.count("*").alias("queries"), (F.avg("_share") >= 0.9).alias("reached")).join(F.broadcast(inside))  # one row
 
 
 LOG = """log AS (SELECT vec_id AS seq, 'insert' AS op, vec_id AS id FROM embeddings
@@ -234,22 +298,30 @@ def sliding_window_live(spark, d):
     return dynamic.sliding_window(e, 200)
 
 
-@query()
+@query(f"WITH {BASE} SELECT 'success' AS status, count(*) FILTER (id % 7 <> 0) AS active, count(*) FILTER (id % 7 = 0) AS released, count(*) FILTER (id % 7 = 0) + 1 AS delete_set, 1 AS unknown FROM base")
+def consolidation_report(spark, d):
+    """What a consolidation did, with one id deleted that never was there."""
+    b, g = built(spark, d)
+    dead = b.filter(F.col("id") % 7 == 0).select("id").unionByName(spark.range(1).selectExpr("9999999L as id"))
+    return dynamic.consolidation_report(g, dynamic.consolidate(g, b, dead, PARAMS), dead).drop("repaired")
+
+
+@query(f"WITH {BASE} SELECT count(*) FILTER (id % 100 = 0) AS queries, true AS reached FROM base")
 def consolidated_search_recall(spark, d):
-    """Recall against the live rows after deleting each seventh row and repairing the graph."""
+    """Whether the recall against the live rows is 90 after deleting each seventh row and repairing the graph."""
     b, g = built(spark, d)
     dead = b.filter(F.col("id") % 7 == 0).select("id")
     live = b.join(dead, "id", "left_anti")
     from ..operators import exact
 
     repaired = dynamic.consolidate(g, b, dead, PARAMS)
-    return evaluate.recall_at(G.search(asked(b), repaired, live, K, 48, skip_self=True), exact.knn_join(asked(b), live, K, skip_self=True), K)
+    return recall_reached(G.search(asked(b), repaired, live, K, 64, skip_self=True), exact.knn_join(asked(b), live, K, skip_self=True), K, 90)
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
 def inserted_search_recall(spark, d):
-    """Recall after building on the even ids and inserting the odd ones."""
+    """Whether the recall is 90 after building on the even ids and inserting the odd ones."""
     b, members = base(spark, d).select("id", "vec"), top2_shards(spark, d)
     g = G.build_sharded(b, members.filter(F.col("id") % 2 == 0), PARAMS)
     grown = dynamic.insert_rows(g, b, members, PARAMS)
-    return evaluate.recall_at(G.search(asked(b), grown, b, K, 48, skip_self=True), knn(spark, d), K)
+    return recall_reached(G.search(asked(b), grown, b, K, 48, skip_self=True), knn(spark, d), K, 90)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
-from ..operators import cluster, disk, dynamic, evaluate, graph as G, layout as L, pq
+from ..operators import cluster, disk, dynamic, evaluate, graph as G, layout as L, pq, tags as T
 from ..operators.blocks import cut
 from ..operators.exact import select_vectors
 from ..operators.kernels import BuildParams
@@ -22,7 +22,8 @@ from ..operators.kernels import BuildParams
 @dataclass(frozen=True)
 class IndexParams:
     """metric l2, ip or cosine; ``shards`` 0 lets ``build_ram_bytes`` decide; chunks 0 does without codes; layout identity,
-    first_seen or covisit (the last two need a workload)."""
+    first_seen or covisit (the last two need a workload). ``start_norm`` above 0 freezes a random start point of that length into every shard, with which
+    searches begin; ``code_build`` builds graphs on distances between codes; codes are centred but for ip."""
 
     dim: int
     metric: str = "l2"
@@ -36,12 +37,18 @@ class IndexParams:
     layout: str = "identity"
     seed: int = 1
     shard_rows: int = G.SHARD_ROWS
+    start_norm: float = 0.0
+    code_build: bool = False
 
     def __post_init__(self) -> None:
         if self.metric not in ("l2", "ip", "cosine"):
             raise ValueError(f"metric {self.metric!r} has no graph index")
         if self.layout not in ("identity", "first_seen", "covisit"):
             raise ValueError(f"unknown layout {self.layout!r}")
+        if self.code_build and not self.chunks:
+            raise ValueError("code_build needs chunks")
+        if self.start_norm and self.layout != "identity":
+            raise ValueError("start points go with the identity layout")
 
 
 @dataclass
@@ -54,6 +61,7 @@ class Index:
     centers: np.ndarray
     book: pq.Codebook | None = None
     hidden: DataFrame | None = None
+    codes: DataFrame | None = None  # (id, codes) of the book
 
     def prepared(self, queries: DataFrame) -> DataFrame:
         return prepare_queries(queries, self.params.metric)
@@ -63,17 +71,45 @@ class Index:
         q, routes = self.prepared(queries), None
         if probes is not None:
             routes = cluster.nearest_centers(q, self.centers, probes).select(F.col("id").alias("query_id"), F.col("center").alias("shard"))
-        return self._reported(G.search(q, self.graph, self.rows, k, list_size, routes, self.hidden, skip_self), queries)
+        return self._reported(G.search(q, self.graph, self.nodes(), k, list_size, routes, self.hidden, skip_self), queries)
 
-    def page_search(self, queries: DataFrame, k: int, list_size: int = 100, beam: int = 2, reuse_pages: bool = True, cache: DataFrame | None = None, skip_self: bool = False) -> DataFrame:
-        """The same with page reads counted; codes guide the search if the index has them."""
+    def nodes(self) -> DataFrame:
+        """(id, vec) of everything a graph links: the rows and the frozen start points."""
+        starts = self.starts()
+        return self.rows if starts is None else self.rows.unionByName(G.frozen_rows(self.rows.sparkSession, starts))
+
+    def starts(self) -> np.ndarray | None:
+        p = self.params
+        return G.start_points(self.centers.shape[1], p.start_norm, 1, p.seed) if p.start_norm else None
+
+    def search_tags(self, queries: DataFrame, tags: DataFrame, k: int, list_size: int = 100, vectors: bool = False, **options) -> DataFrame:
+        """(query_id, rank, id, distance, tag, ...): results that carry a tag of (id, tag), ranked anew, k at most; with ``vectors`` also vec.
+
+        Ids without a tag are passed over, so up to ``list_size`` results are looked at.
+        """
+        from pyspark.sql import Window
+
+        found = T.with_tags(self.search(queries, list_size, list_size, **options), tags)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        kept = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance", "tag")
+        return T.with_vectors(kept, self.rows) if vectors else kept
+
+    def merged(self) -> "Index":
+        """The shards' graphs merged into one that is searched from the medoid. For up to ``shard_rows`` rows."""
+        graph = cut(G.merged_graph(self.graph, self.rows, self.params.build.degree, self.params.shard_rows, self.params.seed))
+        members = graph.select("shard", "id")
+        return Index(**{**self.__dict__, "graph": graph, "members": members, "centers": self.centers.mean(0, keepdims=True)})
+
+    def page_search(self, queries: DataFrame, k: int, list_size: int = 100, beam: int = 2, reuse_pages: bool = True, cache: DataFrame | None = None, skip_self: bool = False, timed: bool = False) -> DataFrame:
+        """The same with page reads counted; codes guide the search if the index has them. With ``timed`` also us, for ``disk.batch_stats``."""
         q = self.prepared(queries)
-        return self._reported(disk.page_search(q, self.graph, self.rows, self.layout, k, list_size, beam, self.book, reuse_pages, cache, self.hidden, None, skip_self), queries)
+        found = disk.page_search(q, self.graph, self.rows, self.layout, k, list_size, beam, self.book, reuse_pages, cache, self.hidden, None, skip_self, self.codes, timed)
+        return self._reported(found, queries)
 
     def range_search(self, queries: DataFrame, radius: float, **options) -> DataFrame:
         if self.params.metric != "l2":
             raise ValueError("range search is defined for l2")
-        return disk.range_search(queries, self.graph, self.rows, self.layout, radius, book=self.book, **options)
+        return disk.range_search(queries, self.graph, self.rows, self.layout, radius, book=self.book, codes=self.codes, **options)
 
     def cache(self, kind: str = "none", sample: DataFrame | None = None, share: float = 0.1, list_size: int = 15, beam: int = 4) -> DataFrame | None:
         """(id) of nodes to keep at hand: none, levels (nearest to the entries by edges), or queries (most visited by a sample)."""
@@ -109,10 +145,15 @@ class Index:
         if self.hidden is None:
             return self
         dead = cut(self.hidden)
-        graph = cut(dynamic.consolidate(self.graph, self.rows, dead, self.params.build))
+        graph = cut(dynamic.consolidate(self.graph, self.nodes(), dead, self.params.build))
         rows, members = (x.join(dead, "id", "left_anti") for x in (self.rows, self.members))
         return Index(**{**self.__dict__, "graph": graph, "rows": cut(rows), "members": cut(members), "hidden": None, "layout": L.identity_layout(rows, _per_page(self.params))})
 
+    def consolidation_report(self, after: "Index") -> DataFrame:
+        """What ``consolidate`` did, from this index to ``after``; see ``dynamic.consolidation_report``."""
+        deleted = self.rows.limit(0).select("id") if self.hidden is None else self.hidden
+        return dynamic.consolidation_report(self.graph, after.graph, deleted)
+
     def insert(self, new: DataFrame) -> "Index":
         """(id, vec) added to the shards of their nearest centres. Ids already there, and 0, are refused. Not for ip, whose base scale is fixed."""
         if self.params.metric == "ip":
@@ -123,13 +164,16 @@ class Index:
             raise ValueError(f"{clash} ids are reserved or taken")
         members = cut(self.members.unionByName(cluster.shard_members(added, self.centers, min(self.params.replicas, len(self.centers)))))
         rows = cut(self.rows.unionByName(added))
-        graph = cut(dynamic.insert_rows(self.graph, rows, members, self.params.build, self.params.shard_rows))
-        return Index(**{**self.__dict__, "graph": graph, "rows": rows, "members": members, "layout": L.identity_layout(rows, _per_page(self.params))})
+        starts = self.starts()
+        every = rows if starts is None else rows.unionByName(G.frozen_rows(rows.sparkSession, starts))
+        graph = cut(dynamic.insert_rows(self.graph, every, members, self.params.build, self.params.shard_rows))
+        codes = None if self.codes is None else cut(self.codes.unionByName(pq.encode(added, self.book)))
+        return Index(**{**self.__dict__, "graph": graph, "rows": rows, "members": members, "codes": codes, "layout": L.identity_layout(rows, _per_page(self.params))})
 
     def status(self) -> DataFrame:
         """(rows, hidden, shards, max_degree, avg_degree, min_degree, below_two)."""
         hidden = 0 if self.hidden is None else self.hidden.join(self.rows, "id", "left_semi").count()
-        counts = self.graph.agg(F.countDistinct("id").alias("rows"), F.lit(hidden).cast("long").alias("hidden"), F.countDistinct("shard").alias("shards"))
+        counts = self.graph.filter("id >= 0").agg(F.countDistinct("id").alias("rows"), F.lit(hidden).cast("long").alias("hidden"), F.countDistinct("shard").alias("shards"))
         return counts.join(F.broadcast(evaluate.degree_stats(self.graph)))  # one row each
 
 
@@ -179,12 +223,14 @@ def build_index(rows: DataFrame, params: IndexParams, workload: DataFrame | None
         budget = min(params.build_ram_bytes, cluster.ram_estimate(params.shard_rows, params.dim, params.build.degree))
         centers = cluster.partition_for_budget(base, params.dim, params.build.degree, budget, work, params.replicas, seed=params.seed)
     members = cut(cluster.shard_members(base, centers, min(params.replicas, len(centers))))
-    graph = cut(G.build_sharded(base, members, params.build, params.shard_rows))
-    book = None
+    book, codes = None, None
     if params.chunks:
         trainer = pq.train_rotated if params.rotate else pq.train
-        book = trainer(base, params.chunks, min(params.codes, n), seed=params.seed)
-    index = Index(params, base, members, graph, L.identity_layout(base, _per_page(params)), centers, book)
+        book = trainer(base, params.chunks, min(params.codes, n), centre=params.metric != "ip", seed=params.seed)
+        codes = cut(pq.encode(base, book))
+    starts = G.start_points(centers.shape[1], params.start_norm, 1, params.seed) if params.start_norm else None
+    graph = cut(G.build_sharded(base, members, params.build, params.shard_rows, starts, book if params.code_build else None))
+    index = Index(params, base, members, graph, L.identity_layout(base, _per_page(params)), centers, book, codes=codes)
     index.largest_norm = top
     if params.layout != "identity":
         if work is None:
@@ -288,7 +334,7 @@ class Catalog:
         t = {x: self.spark.read.parquet(f"{at}/{x}") for x in _TABLES}
         n = t["rows"].count()
         lay = t["layout"].agg(F.count("*"), F.countDistinct("logical_id"), F.countDistinct("physical_id"), F.min("physical_id"), F.max("physical_id")).first()
-        nodes = t["graph"].agg(F.countDistinct("id")).first()[0]
+        nodes = t["graph"].filter("id >= 0").agg(F.countDistinct("id")).first()[0]
         if n != meta["rows"] or nodes != n:
             raise ValueError(f"{name}: {n} rows, {nodes} graph nodes, {meta['rows']} expected")
         if tuple(lay) != (n, n, n, 0, n - 1):
@@ -296,7 +342,7 @@ class Catalog:
         params = IndexParams(**{**meta["params"], "build": BuildParams(**meta["params"]["build"])})
         b = meta["book"]
         book = b and pq.Codebook(b["offsets"], [np.array(c) for c in b["centers"]], np.array(b["centroid"]), None if b["rotation"] is None else np.array(b["rotation"]))
-        index = Index(params, centers=np.array(meta["centers"]), book=book, **t)
+        index = Index(params, centers=np.array(meta["centers"]), book=book, codes=pq.encode(t["rows"], book) if book else None, **t)
         index.largest_norm = meta["largest_norm"]
         return index
 

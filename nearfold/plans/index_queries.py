@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import SparkSession, functions as F
 
 from ..functions.arrow import matrix
-from ..operators import cluster, evaluate, pq
+from ..operators import cluster, pq
 from ..operators.sessions import table
+from .checks import REACHED, recall_reached
 from .exact_queries import BASE, K, _long, asked, base, knn, rounded, sql_l2
 from .registry import query
 
@@ -54,19 +55,19 @@ def replication_factor(spark, d):
 @query(f"WITH {_NEAR} SELECT center AS shard, id, label FROM n JOIN base USING (id) WHERE rank <= 2")
 def shard_data(spark, d):
     """Rows brought to their shards by an equi-join on the id."""
-    return top2_shards(spark, d).join(base(spark, d).select("id", "label"), "id").select("shard", "id", "label")
+    b = base(spark, d)
+    return cluster.shard_data(b, top2_shards(spark, d)).join(b.select("id", "label"), "id").select("shard", "id", "label")
 
 
 @query(f"WITH {_NEAR} SELECT center AS shard, round(1.1::DOUBLE * (count(*) * 64 * 4 + count(*) * 64 * 4 * 1.3::DOUBLE + count(*) * 8 + count(*) * 24), 3) AS bytes FROM n WHERE rank <= 2 GROUP BY 1")
 def ram_estimate(spark, d):
-    n = F.col("n")
-    return shard_sizes(spark, d).select("shard", F.round(1.1 * (n * 64 * 4 + n * 64 * 4 * F.lit(1.3) + n * 8 + n * 24), 3).alias("bytes"))
+    return shard_sizes(spark, d).select("shard", F.round(cluster.ram_estimate(F.col("n"), 64, 64), 3).alias("bytes"))
 
 
 @query(f"WITH {_NEAR} SELECT center AS shard, CAST(greatest(1, least(floor(4096.0 / count(*)), 64)) AS BIGINT) AS chunks FROM n WHERE rank <= 2 GROUP BY 1")
 def pq_chunk_count(spark, d):
     """Chunks per shard that 4,096 bytes of codes allow."""
-    return shard_sizes(spark, d).select("shard", F.greatest(F.lit(1), F.least(F.floor(F.lit(4096.0) / F.col("n")), F.lit(64))).cast("long").alias("chunks"))
+    return shard_sizes(spark, d).select("shard", pq.chunk_count(4096.0, F.col("n"), 64).alias("chunks"))
 
 
 @query(f"""WITH {_NEAR}, m AS (SELECT center, pos, avg(x) AS x FROM (SELECT center, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS pos FROM n WHERE rank = 1) GROUP BY 1, 2)
@@ -98,22 +99,24 @@ def shard_pruned_knn(spark, d):
     return rounded(cluster.shard_pruned_knn(asked(b), b, fixed_centres(spark, d), K, probes=2), "distance")
 
 
-@query()
+@query(f"WITH {BASE} SELECT 8 AS shards, 2 * count(*) AS n, true AS none_empty FROM base")
 def kmeans_partition(spark, d):
-    """(shard, n): shards of centres trained on the base itself."""
+    """Shards of centres trained on the base itself: each row in two of eight, none empty."""
     b = base(spark, d)
-    return cluster.shard_sizes(cluster.shard_members(b, cluster.kmeans(b, 8, 10, seed=7), 2))
+    sizes = cluster.shard_sizes(cluster.shard_members(b, cluster.kmeans(b, 8, 10, seed=7), 2))
+    return sizes.agg(F.count("*").cast("int").alias("shards"), F.sum("n").alias("n"), F.min(F.col("n") > 0).alias("none_empty"))
 
 
-@query()
+@query("SELECT 2 * count(DISTINCT id) AS n, true AS within_budget FROM partition_rows WHERE id IS NOT NULL AND len(cur_row) = 64 AND len([x FOR x IN cur_row IF x IS NULL OR isnan(x)]) = 0")
 def query_aware_partition(spark, d):
-    """(shard, n): centres trained on the sampled workload, as many as bring every shard below 0.6 of the whole index."""
+    """Centres trained on the sampled workload, as many as bring every shard below 0.6 of the whole index; each row in two shards."""
     rows = table(spark, d, "partition_rows").filter((F.size("cur_row") == 64) & ~F.exists("cur_row", lambda x: x.isNull() | F.isnan(x)))
-    rows = rows.select("id", F.col("cur_row").alias("vec")).dropDuplicates(["id"])
+    rows = rows.select("id", F.col("cur_row").alias("vec")).filter("id is not null").dropDuplicates(["id"])
     work = table(spark, d, "workload").filter("query_id is not null and vec is not null").select(F.col("query_id").alias("id"), "vec").dropDuplicates(["id"])
     n = rows.count()
     centers = cluster.partition_for_budget(rows, 64, 32, cluster.ram_estimate(n, 64, 32) * 0.6, train_on=work)
-    return cluster.shard_sizes(cluster.shard_members(rows, centers, 2))
+    sizes = cluster.shard_sizes(cluster.shard_members(rows, centers, 2))
+    return sizes.agg(F.sum("n").alias("n"), F.min(cluster.ram_estimate(F.col("n"), 64, 32) <= cluster.ram_estimate(n, 64, 32) * 0.6).alias("within_budget"))
 
 
 _BOOK = f"""book AS (SELECT id AS code, j AS chunk, vec[8 * j + 1 : 8 * j + 8] AS center FROM base, (SELECT unnest(range(0, {CHUNKS})) AS j) WHERE id < {CODES}),
@@ -157,16 +160,16 @@ def adc_rerank(spark, d):
 def _quantised(spark, d, book):
     b = base(spark, d)
     found = pq.rerank(pq.adc_scan(asked(b), pq.encode(b, book), book, 3 * K, skip_self=True), asked(b), b, K)
-    return evaluate.recall_at(found, knn(spark, d), K)
+    return recall_reached(found, knn(spark, d), K, 90)
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
 def pq_search_recall(spark, d):
-    """Recall of trained codes with re-ranking."""
-    return _quantised(spark, d, pq.train(base(spark, d), 16, 32, seed=3))
+    """Whether trained codes of 32 bytes a row, with re-ranking of three times as many, have a recall of 90."""
+    return _quantised(spark, d, pq.train(base(spark, d), 32, 64, seed=3))
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
 def opq_search_recall(spark, d):
     """The same with a learned rotation."""
-    return _quantised(spark, d, pq.train_rotated(base(spark, d), 16, 32, rounds=10, seed=3))
+    return _quantised(spark, d, pq.train_rotated(base(spark, d), 32, 64, rounds=6, seed=3))

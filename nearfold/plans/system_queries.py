@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, exact, layout
+from ..operators import dynamic, evaluate, exact, layout
 from ..operators.blocks import cut, shared_folder
 from ..operators.kernels import BuildParams
 from ..operators.sessions import table
 from ..sources import text, vecfile
 from ..streaming import window
 from . import index as I, service
-from .exact_queries import BASE, K, asked, base, knn, rounded, sql_knn, sql_l2
+from .checks import REACHED, recall_reached
+from .exact_queries import BASE, GRAPH, K, asked, graph as knn_graph_of, base, knn, rounded, sql_knn, sql_l2
 from .registry import query
 
 _DRAW = "CAST(('0x' || substr(md5('1:' || CAST(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
@@ -23,30 +24,51 @@ def sample_rows(spark, d):
     return text.sample_rows(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 0.1)
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file:")
-
-
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding AS vec FROM embeddings")
 def vector_file_roundtrip(spark, d):
     """Written as a binary file and read back; ids are row numbers."""
-    path = _local(shared_folder(spark, "vectors"))
+    path = shared_folder(spark, "vectors")
     vecfile.save_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), path)
     return vecfile.read_vectors(spark, path)
 
 
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding AS vec FROM embeddings")
 def fvecs_roundtrip(spark, d):
-    a, b = (_local(shared_folder(spark, x)) for x in ("bin", "fvecs"))
+    a, b = (shared_folder(spark, x) for x in ("bin", "fvecs"))
     vecfile.save_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), a)
     vecfile.convert(spark, a, b, "bin", "fvecs")
     return vecfile.read_vectors(spark, b, "fvecs")
 
 
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding AS vec FROM embeddings")
+def vector_folder_roundtrip(spark, d):
+    """Written as a folder of parts, without a joining commit, and read back."""
+    path = shared_folder(spark, "folder")
+    vecfile.save_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), path, partitions=5, folder=True)
+    return vecfile.read_vectors(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY id) - 1 AS logical_id, row_number() OVER (ORDER BY id DESC) - 1 AS physical_id FROM (SELECT DISTINCT id FROM partition_rows WHERE id IS NOT NULL)")
+def permutation_file_roundtrip(spark, d):
+    path, ids = shared_folder(spark, "permutation"), table(spark, d, "partition_rows").select("id").filter("id is not null").distinct()
+    up, down = layout.number_globally(ids, ["id"], "logical_id"), layout.number_globally(ids.withColumn("_d", -F.col("id")), ["_d"], "physical_id")
+    vecfile.save_permutation(up.select("id", "logical_id").join(down.select("id", "physical_id"), "id"), path)
+    return vecfile.read_permutation(spark, path)
+
+
+@query(f"WITH {GRAPH}, m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM base) SELECT m.n AS id, list(t.n ORDER BY t.n) AS nbrs, m.n = 0 AS entry FROM (SELECT id, unnest(nbrs) AS t FROM graph) e JOIN m ON m.id = e.id JOIN m t ON t.id = e.t GROUP BY 1")
+def graph_file_roundtrip(spark, d):
+    """The exact neighbour graph, renumbered, as a graph file and back."""
+    path, g = shared_folder(spark, "graph"), knn_graph_of(spark, d)
+    small = dynamic.compact(g, dynamic.compaction_map(g.select("id")))
+    vecfile.save_graph(small.select("id", F.sort_array("nbrs").alias("nbrs"), (F.col("id") == 0).alias("entry")), path)
+    return vecfile.read_vectors(spark, path, "graph")
+
+
 @query(f"""WITH {BASE}, {sql_knn(sql_l2('q.vec', 'b.vec'))}
 SELECT dense_rank() OVER (ORDER BY query_id) - 1 AS query_id, CAST(rank AS INTEGER) AS rank, id, round(CAST(distance AS FLOAT), 3) AS distance FROM knn""")
 def truth_file_roundtrip(spark, d):
-    path = _local(shared_folder(spark, "truth"))
+    path = shared_folder(spark, "truth")
     vecfile.save_truth(knn(spark, d), path)
     return vecfile.read_vectors(spark, path, "truth").withColumn("distance", F.round(F.col("distance").cast("float"), 3))
 
@@ -131,23 +153,34 @@ def workload_index_pages(spark, d):
 def _index_recall(spark, d, metric, build=PARAMS, list_size=48):
     b = base(spark, d).select("id", "vec")
     index = I.build_index(b, I.IndexParams(64, metric, build, shards=2))
-    return evaluate.recall_at(index.search(asked(b), K, list_size, skip_self=True), knn(spark, d, metric), K)
+    return recall_reached(index.search(asked(b), K, list_size, skip_self=True), knn(spark, d, metric), K, 90)
 
 
-@query()
+@query(f"""WITH {BASE} SELECT id AS query_id, 10 AS results, true AS tags_right, true AS vectors_right FROM asked""")
+def index_search_tags(spark, d):
+    """Search that returns tags and vectors: tag = id + 1, every fifth row has none and is passed over."""
+    b = base(spark, d).select("id", "vec")
+    index = I.build_index(b, I.IndexParams(64, "l2", PARAMS, shards=2))
+    got = index.search_tags(asked(b), b.filter(F.col("id") % 5 != 0).select("id", (F.col("id") + 1).alias("tag")), K, 64, vectors=True, skip_self=True)
+    held = got.join(b.select("id", F.col("vec").alias("_v")), "id")
+    right = (F.col("tag") == F.col("id") + 1) & (F.col("id") % 5 != 0)
+    return held.groupBy("query_id").agg(F.count("*").cast("int").alias("results"), F.min(right).alias("tags_right"), F.min(F.col("vec") == F.col("_v")).alias("vectors_right"))
+
+
+@query(f"WITH {BASE} {REACHED}")
 def index_recall_l2(spark, d):
     return _index_recall(spark, d, "l2")
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
 def index_recall_ip(spark, d):
     """Queries lie far from the transformed base, so lists are longer than for the other metrics."""
-    return _index_recall(spark, d, "ip", BuildParams(degree=32, list_size=100), 200)
+    return _index_recall(spark, d, "ip", BuildParams(degree=32, list_size=100), 300)
 
 
-@query()
+@query(f"WITH {BASE} {REACHED}")
 def index_recall_cosine(spark, d):
-    return _index_recall(spark, d, "cosine")
+    return _index_recall(spark, d, "cosine", list_size=64)
 
 
 @query("SELECT vec_id AS seq, vec_id AS id FROM embeddings WHERE vec_id > (SELECT max(vec_id) FROM embeddings) - 200")

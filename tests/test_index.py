@@ -261,3 +261,116 @@ def test_index_life_cycle(spark, data, tmp_path):
         I.build_index(b.filter("false"), I.IndexParams(8))
     with pytest.raises(Exception, match="bad vector"):
         I.build_index(b, I.IndexParams(9))
+
+
+def test_queries_of_a_popular_shard_in_blocks(data, built, monkeypatch):
+    _, b = data
+    _, _, g = built
+    q = b.filter("id % 3 = 0")
+    lay = L.identity_layout(b, 10)
+    whole, paged = (x.collect() for x in (G.search(q, g, b, 5, 20).orderBy("query_id", "rank"), disk.page_search(q, g, b, lay, 5, 20).orderBy("query_id", "rank")))
+    monkeypatch.setattr(G.meet, "__defaults__", (7,))
+    assert G.search(q, g, b, 5, 20).orderBy("query_id", "rank").collect() == whole
+    assert disk.page_search(q, g, b, lay, 5, 20).orderBy("query_id", "rank").collect() == paged
+    assert G.search(q.filter("false"), g, b, 5, 20).count() == 0
+
+
+def test_comparisons_are_the_distances_computed(data, monkeypatch):
+    """The guide is asked for each row once, when it is met, and for no other."""
+    from nearfold.operators.kernels import beam_search, build_graph, distances
+
+    x, _ = data
+    nbrs, start = build_graph(x[:200], P)
+    asked = []
+
+    def guide(rows):
+        asked.extend(rows.tolist())
+        return distances(x, rows, x[3])
+
+    _, _, s = beam_search(x[:200], nbrs, guide, np.array([start]), x[3], 20, 2, np.arange(200) // 5, np.zeros(200, bool), True)
+    assert s.comparisons == len(asked) == len(set(asked)) < 200
+
+
+def test_batch_stats_and_stored_codes(data, built):
+    _, b = data
+    _, _, g = built
+    book = pq.train(b, 4, 32)
+    q, lay = b.filter("id % 10 = 0"), L.identity_layout(b, 10)
+    a = disk.page_search(q, g, b, lay, 5, 20, book=book, codes=pq.encode(b, book), timed=True)
+    assert a.drop("us").exceptAll(disk.page_search(q, g, b, lay, 5, 20, book=book)).count() == 0
+    s = disk.batch_stats(a).first()
+    assert s.queries == 40 and 0 < s.mean_us <= s.p999_us and s.mean_pages > 0
+
+
+def test_frozen_starts_code_distances_and_saturation(spark, data, built):
+    _, b = data
+    _, members, _ = built
+    starts = G.start_points(8, 2.0, 2, 5)
+    assert np.allclose(np.linalg.norm(starts, axis=1), 2.0) and np.array_equal(starts, G.start_points(8, 2.0, 2, 5))
+    g = G.build_sharded(b, members, BuildParams(degree=12, list_size=32, saturate=True), starts=starts, book=pq.train(b, 8, 64))
+    assert {(r.id, r.entry) for r in g.filter("entry or id < 0").collect()} == {(-1, True), (-2, True)}
+    q, nodes = b.filter("id % 10 = 0"), b.unionByName(G.frozen_rows(spark, starts))
+    found = G.search(q, g, nodes, 5, 40)
+    assert found.filter("id < 0").count() == 0 and evaluate.recall_at(found, exact.knn_join(q, b, 5), 5).first().recall >= 90
+    assert disk.page_search(q, g, nodes, L.identity_layout(nodes, 10), 5, 40).filter("id < 0").count() == 0
+    full = g.agg(F.avg(F.size("nbrs"))).first()[0]
+    assert full > G.build_sharded(b, members, P).agg(F.avg(F.size("nbrs"))).first()[0]
+    index = I.build_index(b, I.IndexParams(8, build=P, shards=2, start_norm=1.5, chunks=4, codes=32, code_build=True))
+    assert evaluate.recall_at(index.search(q, 5, 60), exact.knn_join(q, b, 5), 5).first().recall >= 90 and index.status().first().rows == 400
+    with pytest.raises(ValueError):
+        I.IndexParams(8, code_build=True)
+
+
+def test_merged_index_tags_and_report(spark, data):
+    _, b = data
+    index = I.build_index(b, I.IndexParams(8, build=P, shards=3))
+    q = b.filter("id % 10 = 0")
+    one = index.merged()
+    assert one.graph.select("id").distinct().count() == one.graph.count() == 400 and one.graph.filter("entry").count() == 1
+    assert evaluate.recall_at(one.search(q, 5, 60), exact.knn_join(q, b, 5), 5).first().recall >= 90
+    with pytest.raises(ValueError):
+        G.merged_graph(index.graph, b, 12, shard_rows=100)
+    tags = b.filter("id % 4 <> 0").select("id", (F.col("id") * 2).alias("tag"))
+    got = index.search_tags(q, tags, 5, 40, vectors=True)
+    truth = exact.knn_join(q, b.filter("id % 4 <> 0"), 5)
+    assert got.filter("tag <> id * 2 or id % 4 = 0 or vec is null").count() == 0 and evaluate.recall_at(got, truth, 5).first().recall >= 90
+    gone = index.delete(spark.createDataFrame([(5,), (6,), (7777,), (None,)], "id long"))
+    r = gone.consolidation_report(gone.consolidate()).first()
+    assert (r.status, r.active, r.released, r.delete_set, r.unknown) == ("success", 398, 2, 3, 1) and r.repaired > 0
+    assert gone.consolidation_report(index).first().status == "inconsistent_count"
+    assert index.consolidation_report(index).first().repaired == 0
+
+
+def test_tags_and_truth_sizes(spark):
+    from nearfold.operators import tags as T
+
+    found = spark.createDataFrame([(1, 1, 10, 0.5), (1, 2, 11, 0.7), (1, 3, 12, 0.9), (2, 1, 11, 0.1)], "query_id long, rank int, id long, distance double")
+    known = spark.createDataFrame([(11, "b"), (12, "c")], "id long, tag string")
+    assert sorted((r.query_id, r.rank, r.tag) for r in T.live_results(found, known, 1).collect()) == [(1, 1, "b"), (2, 1, "b")]
+    with pytest.raises(Exception, match="no tag for id 10"):
+        T.with_tags(found, known, strict=True).collect()
+    q = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    assert tuple(T.truth_sizes(T.truth_within(found, 0.7), q).first()) == (3, 0, 2)
+    rows = spark.createDataFrame([(11, [1.0]), (12, [2.0])], "id long, vec array<double>")
+    wanted = spark.createDataFrame([("c",), ("x",), ("c",)], "tag string")
+    assert {(r.tag, tuple(r.vec) if r.vec else None) for r in T.vectors_by_tag(known, rows, wanted).collect()} == {("c", (2.0,)), ("x", None)}
+
+
+def test_many_queries_meet_codes_in_a_grid(data, monkeypatch):
+    _, b = data
+    book = pq.train(b, 4, 32)
+    codes = pq.encode(b, book)
+    for ties in (False, True):
+        one = pq.adc_scan(b, codes, book, 5, skip_self=True, ties=ties).orderBy("query_id", "rank", "id").collect()
+        assert pq.adc_scan(b, codes, book, 5, skip_self=True, block_rows=64, ties=ties).orderBy("query_id", "rank", "id").collect() == one
+        monkeypatch.setattr(pq, "BROADCAST_BLOCKS", 1)
+        assert pq.adc_scan(b, codes, book, 5, skip_self=True, block_rows=150, ties=ties).orderBy("query_id", "rank", "id").collect() == one
+        monkeypatch.undo()
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 as x")
+    for buckets in (None, 3):
+        got = L.number_globally(rows, ["x"], "n", buckets).orderBy("x").collect()
+        assert [(r.x, r.n) for r in got] == [(i, i) for i in range(1000)]
+    assert L.number_globally(rows.filter("false"), ["x"], "n").count() == 0
