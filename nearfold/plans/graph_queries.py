@@ -183,9 +183,9 @@ def covisit_layout(spark, d):
 def _disk(spark, d, reuse: bool, cached: bool = False) -> DataFrame:
     b, g = built(spark, d)
     lay = layout.identity_layout(b, PER_PAGE)
-    book = pq.train(b, 16, 32, seed=3)
+    book = pq.train(b, 32, 64, seed=3)
     cache = layout.cache_by_levels(g.select("id", "nbrs"), g.filter("entry").select("id"), 0.1) if cached else None
-    return disk.page_search(asked(b), g, b, lay, K, 48, 2, book, reuse, cache, skip_self=True, codes=pq.encode(b, book))
+    return disk.page_search(asked(b), g, b, lay, K, 64, 2, book, reuse, cache, skip_self=True, codes=pq.encode(b, book))
 
 
 @query(f"WITH {BASE} {sql_right(K)}")
