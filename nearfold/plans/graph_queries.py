@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cluster, disk, dynamic, evaluate, graph as G, layout, pq
+from ..operators import cluster, disk, dynamic, graph as G, layout, pq
 from ..operators.kernels import BuildParams
 from ..operators.sessions import table
 from .checks import REACHED, recall_reached, results_right, sql_right
