@@ -12,8 +12,9 @@ same up to the first edit, so positions are drawn from a walk over half of the w
 back in odd ones: an edit in one half leaves the other's track as it is. A candidate place is compared with the passage as the begin
 (or end) of spans of up to ``max_edits`` words less or more: a dropped word shortens a passage, an added one lengthens it.
 
-Documents are never shuffled: the items' hashes, whose size is checked, are broadcast, and if the
-items are more than one broadcast may hold they are taken in slices.
+Documents are never shuffled and are read once. Up to a bound, the items' hashes are broadcast. Beyond it hashes of both sides meet by
+an equi-join: a broadcast filter of a fixed number of bits, set by the items' hashes, keeps the places of documents that can match, and only these are
+exchanged, with their words, for the edit check.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.blocks import cut
 from .words import Hasher, word_blocks, words
 
-SLICE_CHARS = 16_000_000
+#: Items of up to so many characters are broadcast.
+BROADCAST_CHARS = 16_000_000
+#: Bits of the filter, as a power of two, and how many a hash sets.
+FILTER_BITS = 28
+FILTER_MARKS = 2
 BLOCK_WORDS = 300_000
 #: An odd 64-bit constant (golden ratio) for multiplicative hashing.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -166,7 +172,7 @@ def find_in(
 
 def leaked(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 12, max_edits: int = 0, sampled: int | None = None, target_recall: float = 0.95, slice_chars: int = SLICE_CHARS,
+    window: int = 12, max_edits: int = 0, sampled: int | None = None, target_recall: float = 0.95, broadcast_chars: int = BROADCAST_CHARS,
 ) -> DataFrame:
     """(doc_id, item_id, windows, edits): documents that hold a passage of ``window`` words of an item.
 
@@ -184,44 +190,124 @@ def leaked(
     reps, steps = repetitions(max_edits, target_recall), window if max_edits else 2 * window
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null").distinct()
     size = named.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, math.ceil(size / slice_chars))
-    out = None
-    for k in range(slices):
-        part = named if slices == 1 else named.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
-        index = ItemIndex([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()], window, reps, sampled, steps)
-        shared = spark.sparkContext.broadcast(index.__dict__)
-
-        def search(batches, shared=shared):
-            known = ItemIndex.__new__(ItemIndex)
-            known.__dict__.update(shared.value)
-            hasher, ids = Hasher(), known.ids
-            held_ids, held, begun, held_words = [], [], [], 0
-
-            def flush():
-                got = [(held_ids[d], ids[k], n, e) for d, k, n, e in find_in(known, held, max_edits, hasher, begun)] if held else []
-                return [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["doc_id", "item_id", "windows", "edits"])] if got else []
-
-            for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    # A very long text comes in blocks that share all words but one of the longest span; places among
-                    # the shared words belong to the later block, so each is seen once and with all its spans.
-                    shared_words = window + max_edits - 1
-                    blocks = iter([words(text)] if len(text) <= BLOCK_WORDS else word_blocks(text, BLOCK_WORDS, shared_words))
-                    own = next(blocks, None)
-                    while own is not None:
-                        later = next(blocks, None)
-                        if len(own) >= window - max_edits:
-                            held_ids.append(doc)
-                            held.append(own)
-                            begun.append(len(own) if later is None else len(own) - shared_words)
-                            held_words += len(own)
-                        if held_words >= BLOCK_WORDS:
-                            yield from flush()
-                            held_ids, held, begun, held_words = [], [], [], 0
-                        own = later
-            yield from flush()
-
-        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")
-        one = texts.mapInArrow(search, "doc_id long, item_id long, windows long, edits long")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("edits").alias("edits"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")
+    if size > broadcast_chars:
+        return _leaked_by_join(texts, named, window, max_edits, sampled, reps, steps)
+    index = ItemIndex([(r.item_id, r.text) for r in named.orderBy("item_id", "text").toLocalIterator()], window, reps, sampled, steps)
+    shared = spark.sparkContext.broadcast(index.__dict__)
+
+    def search(batches):
+        known = ItemIndex.__new__(ItemIndex)
+        known.__dict__.update(shared.value)
+        hasher, ids = Hasher(), known.ids
+        for held_ids, _, held, begun, _ in _document_blocks(batches, window, max_edits):
+            got = [(held_ids[d], ids[k], n, e) for d, k, n, e in find_in(known, held, max_edits, hasher, begun)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["doc_id", "item_id", "windows", "edits"])
+
+    found = texts.mapInArrow(search, "doc_id long, item_id long, windows long, edits long")
+    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("edits").alias("edits"))
+
+
+def _document_blocks(batches, window: int, max_edits: int):
+    """(ids, rows, words, begun, offsets) of texts, about ``BLOCK_WORDS`` words at a time.
+
+    A very long text comes in blocks that share all words but one of the longest span; places among
+    the shared words belong to the later block, so each is seen once and with all its spans. begun counts a block's own places, offsets
+    the words of the text before it; rows number the texts where the batches do.
+    """
+    held: tuple[list, ...] = ([], [], [], [], [])
+    total, shared_words = 0, window + max_edits - 1
+    for b in batches:
+        rows = b.column("row").to_pylist() if "row" in b.schema.names else [0] * b.num_rows
+        for doc, row, text in zip(b.column("doc_id").to_pylist(), rows, b.column("text").to_pylist()):
+            blocks = iter([words(text)] if len(text) <= BLOCK_WORDS else word_blocks(text, BLOCK_WORDS, shared_words))
+            own, offset = next(blocks, None), 0
+            while own is not None:
+                later = next(blocks, None)
+                places = len(own) if later is None else len(own) - shared_words
+                if len(own) >= window - max_edits:
+                    for column, x in zip(held, (doc, row, own, places, offset)):
+                        column.append(x)
+                    total += len(own)
+                if total >= BLOCK_WORDS:
+                    yield held
+                    held, total = ([], [], [], [], []), 0
+                own, offset = later, offset + places
+    if held[0]:
+        yield held
+
+
+def _marks(hashes: np.ndarray) -> list[np.ndarray]:
+    """The filter's bits of each hash."""
+    return [((hashes * (MULTIPLIER + np.uint64(2 * m))) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for m in range(FILTER_MARKS)]
+
+
+def _leaked_by_join(texts: DataFrame, named: DataFrame, window: int, max_edits: int, sampled: int, reps: int, steps: int) -> DataFrame:
+    """The same for items of any size. A hash that very many places share is split by the engine's handling of skewed joins."""
+    lengths = list(range(max(1, window - max_edits), window + max_edits + 1))
+
+    def walk(found: list[str], hashes: np.ndarray, places: np.ndarray, width: int, r: int) -> np.ndarray:
+        return embed_hashes(hashes[::-1], len(hashes) - places - width, window, r, sampled, steps) if r % 2 else embed_hashes(hashes, places, window, r, sampled, steps)
+
+    def item_hashes(batches):
+        hasher = Hasher()
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                w = words(text)
+                places = np.arange(max(0, len(w) - window + 1))
+                if len(places):
+                    h = hasher(w)
+                    spans = pa.array([" ".join(w[p : p + window]) for p in places.tolist()])
+                    for r in range(reps):
+                        yield pa.RecordBatch.from_arrays([pa.array(walk(w, h, places, window, r).view(np.int64)), pa.array(np.full(len(places), item)), spans], ["hash", "item_id", "passage"])
+
+    items = cut(named.mapInArrow(item_hashes, "hash long, item_id long, passage string").distinct())
+
+    def bits(batches):
+        for b in batches:
+            at = np.unique(np.concatenate(_marks(b.column("hash").to_numpy().view(np.uint64)))) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.uint64(1) << (at & 63).astype(np.uint64)).view(pa.int64())], ["word", "bits"])
+
+    # At most 2 ** (FILTER_BITS - 6) rows of 16 bytes, whatever the items.
+    set_ = items.select("hash").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def place_hashes(batches):
+        hasher, filter_ = Hasher(), shared.value
+        for ids, rows, docs, begun, offsets in _document_blocks(batches, window, max_edits):
+            for doc, row, w, own, offset in zip(ids, rows, docs, begun, offsets):
+                places, h = np.arange(len(w) - lengths[0] + 1), hasher(w)
+                for r in range(reps):
+                    x = walk(w, h, places, lengths[0], r)
+                    hit = np.ones(len(x), bool)
+                    for at in _marks(x):
+                        hit &= (filter_[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    hit = np.flatnonzero(hit)
+                    if len(hit):
+                        # The words of the longest span, from its begin or, of walks from the end, up to its end.
+                        cuts = [(max(0, p + lengths[0] - lengths[-1]), p + lengths[0]) if r % 2 else (p, p + lengths[-1]) for p in hit.tolist()]
+                        columns = [pa.array(x[hit].view(np.int64))] + [pa.array([v] * len(hit), pa.int64()) for v in (doc, row, offset, own, r % 2)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in cuts]), pa.array([" ".join(w[a:z]) for a, z in cuts])], ["hash", "doc_id", "row", "offset", "own", "back", "begin", "span"])
+
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    places = numbered.mapInArrow(place_hashes, "hash long, doc_id long, row long, offset long, own long, back long, begin long, span string")
+
+    def verify(batches):
+        for b in batches:
+            out = []
+            for x in b.to_pylist():
+                span, passage = x["span"].split(" "), x["passage"].split(" ")
+                for n in lengths:
+                    at = len(span) - n if x["back"] else 0
+                    if 0 <= at and n <= len(span) and x["begin"] + at < x["own"]:
+                        e = edit_distance(span[at : at + n], passage, max_edits)
+                        if e <= max_edits:
+                            out.append((x["doc_id"], x["item_id"], x["row"], x["offset"] + x["begin"] + at, e))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["doc_id", "item_id", "row", "place", "edits"])
+
+    met = places.join(items, "hash").mapInArrow(verify, "doc_id long, item_id long, row long, place long, edits long")
+    return met.groupBy("doc_id", "item_id", "row", "place").agg(F.min("edits").alias("edits")).groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min("edits").alias("edits"))

@@ -12,14 +12,13 @@ byte ranges: no worker reads more of a file than its range and what lies between
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.blocks import cut
+from ..sources.files import ByteFile
 from .tokens import default_path, token_starts
 
 #: Characters of a range of a cell, bytes of a range of a file, and how much is read at a time in search of a safe place.
@@ -290,21 +289,8 @@ def split_oversized(
     return small.unionByName(cuts).withColumnRenamed("id", "doc_id")
 
 
-class FileText:
-    """Byte ranges of one UTF-8 file, read as text; works on every file system that Arrow knows."""
-
-    def __init__(self, uri: str) -> None:
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(uri)
-        self.file = system.open_input_file(name)
-        self.size = self.file.size()
-
-    def __enter__(self) -> FileText:
-        return self
-
-    def __exit__(self, *error) -> None:
-        self.file.close()
+class FileText(ByteFile):
+    """Byte ranges of one UTF-8 file, read as text."""
 
     def character(self, at: int) -> int:
         """The first character's start at or after byte ``at``."""
