@@ -21,7 +21,7 @@ RESULT = "query_id long, id long, distance double, place int, pages long, compar
 def _search(
     queries: DataFrame, graph: DataFrame, rows: DataFrame, layout: DataFrame, book: Codebook | None, k: int, list_size: int, beam: int,
     reuse_pages: bool, cache: DataFrame | None, hidden: DataFrame | None, page_limit: int | None, skip_self: bool, radius: float | None,
-    codes: DataFrame | None,
+    codes: DataFrame | None, routes: DataFrame | None = None,
 ) -> DataFrame:
     held = (
         graph.join(select_vectors(rows, "id", "vec"), "id").join(layout.select(F.col("logical_id").alias("id"), "page_no"), "id")
@@ -32,10 +32,14 @@ def _search(
         held = held.join(codes.select("id", "codes"), "id")
     for name, marks in (("cached", cache), ("hid", hidden)):
         held = held.withColumn(name, F.lit(False)) if marks is None else held.join(marks.select("id", F.lit(True).alias(name)).distinct(), "id", "left").fillna(False, [name])
-    shards = [r.shard for r in graph.select("shard").distinct().orderBy("shard").limit(10_001).collect()]
-    if len(shards) > 10_000:
-        raise ValueError("too many shards to search all of them")
-    q = select_vectors(queries, "id", "vec").withColumn("shard", F.explode(F.array(*[F.lit(x).cast("int") for x in shards]) if shards else F.array().cast("array<int>")))
+    q = select_vectors(queries, "id", "vec")
+    if routes is None:
+        shards = [r.shard for r in graph.select("shard").distinct().orderBy("shard").limit(10_001).collect()]
+        if len(shards) > 10_000:
+            raise ValueError("give routes to search in more than 10,000 shards")
+        q = q.withColumn("shard", F.explode(F.array(*[F.lit(x).cast("int") for x in shards]) if shards else F.array().cast("array<int>")))
+    else:
+        q = q.join(routes.select(F.col("query_id").alias("id"), F.col("shard").cast("int")), "id")
     model = queries.sparkSession.sparkContext.broadcast(book.__dict__ if book else None)
     names = [x.split()[0] for x in RESULT.split(", ")]
 
@@ -75,7 +79,7 @@ def _search(
                     if size >= k:
                         # Too many lie within for a walk: the shard is read as a whole, which is exact.
                         every = distances(vecs, np.arange(len(vecs)), v)
-                        nodes = np.flatnonzero((every <= radius) & ~hide & (ids != qid if skip_self else True))
+                        nodes = np.flatnonzero((every <= radius) & ~hide & (ids >= 0) & (ids != qid if skip_self else True))
                         nodes = nodes[np.lexsort((nodes, every[nodes]))]
                         dist = every[nodes]
                         s.pages, s.comparisons = len(np.unique(page[~cached])), s.comparisons + len(vecs)
@@ -100,12 +104,12 @@ def _search(
 def page_search(
     queries: DataFrame, graph: DataFrame, rows: DataFrame, layout: DataFrame, k: int = 10, list_size: int = 50, beam: int = 2, book: Codebook | None = None,
     reuse_pages: bool = False, cache: DataFrame | None = None, hidden: DataFrame | None = None, page_limit: int | None = None, skip_self: bool = False,
-    codes: DataFrame | None = None, timed: bool = False,
+    codes: DataFrame | None = None, timed: bool = False, routes: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, distance, pages, comparisons, hops, cache_hits): k nearest by beam search over pages.
 
     With ``timed`` also us, the microseconds that the query's walks took in their tasks. ``codes`` (id, codes) are the rows' codes of ``book``; without them
-    each task encodes its shard.
+    each task encodes its shard. ``routes`` (query_id, shard) says where each query looks; without it, in every shard.
 
     Codes of ``book`` guide the search, without it full distances do; results are ordered by full distance. ``layout``
     maps ids to pages. ``cache`` (id) are free of reads, ``hidden`` (id) are not returned. With ``reuse_pages`` all nodes of
@@ -114,7 +118,7 @@ def page_search(
     """
     if not 0 < k <= list_size or beam < 1:
         raise ValueError("need 0 < k <= list_size and a positive beam")
-    found = _search(queries, graph, rows, layout, book, k, list_size, beam, reuse_pages, cache, hidden, page_limit, skip_self, None, codes)
+    found = _search(queries, graph, rows, layout, book, k, list_size, beam, reuse_pages, cache, hidden, page_limit, skip_self, None, codes, routes)
     return (found if timed else found.drop("us")).filter(F.col("rank") <= k)
 
 

@@ -68,16 +68,32 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, list_size: int = 100, probes: int | None = None, skip_self: bool = False) -> DataFrame:
         """(query_id, rank, id, distance, hops, comparisons); queries (id, vec). ``probes`` nearest shards, by default all."""
-        q, routes = self.prepared(queries), None
-        if probes is not None:
-            routes = cluster.nearest_centers(q, self.centers, probes).select(F.col("id").alias("query_id"), F.col("center").alias("shard"))
+        q = self.prepared(queries)
+        routes = self._routes(q, probes)
         return self._reported(G.search(q, self.graph, self.nodes(), k, list_size, routes, self.hidden, skip_self), queries)
 
+    def _routes(self, q: DataFrame, probes: int | None) -> DataFrame | None:
+        if probes is None:
+            return None
+        return cluster.nearest_centers(q, self.centers, probes).select(F.col("id").alias("query_id"), F.col("center").alias("shard"))
+
     def nodes(self) -> DataFrame:
         """(id, vec) of everything a graph links: the rows and the frozen start points."""
         starts = self.starts()
         return self.rows if starts is None else self.rows.unionByName(G.frozen_rows(self.rows.sparkSession, starts))
 
+    def _paged(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Nodes, their pages and codes for a page search; start points lie on page 0, with the header."""
+        starts = self.starts()
+        if starts is None:
+            return self.rows, self.layout, self.codes
+        spark = self.rows.sparkSession
+        pages = self.layout.select("logical_id", F.col("page_no").cast("long").alias("page_no")).unionByName(
+            spark.createDataFrame([(-1 - i, 0) for i in range(len(starts))], "logical_id long, page_no long")
+        )
+        codes = None if self.codes is None else self.codes.unionByName(pq.encode(G.frozen_rows(spark, starts), self.book))
+        return self.nodes(), pages, codes
+
     def starts(self) -> np.ndarray | None:
         p = self.params
         return G.start_points(self.centers.shape[1], p.start_norm, 1, p.seed) if p.start_norm else None
@@ -100,16 +116,21 @@ class Index:
         members = graph.select("shard", "id")
         return Index(**{**self.__dict__, "graph": graph, "members": members, "centers": self.centers.mean(0, keepdims=True)})
 
-    def page_search(self, queries: DataFrame, k: int, list_size: int = 100, beam: int = 2, reuse_pages: bool = True, cache: DataFrame | None = None, skip_self: bool = False, timed: bool = False) -> DataFrame:
+    def page_search(
+        self, queries: DataFrame, k: int, list_size: int = 100, beam: int = 2, reuse_pages: bool = True, cache: DataFrame | None = None, skip_self: bool = False, timed: bool = False,
+        probes: int | None = None,
+    ) -> DataFrame:
         """The same with page reads counted; codes guide the search if the index has them. With ``timed`` also us, for ``disk.batch_stats``."""
         q = self.prepared(queries)
-        found = disk.page_search(q, self.graph, self.rows, self.layout, k, list_size, beam, self.book, reuse_pages, cache, self.hidden, None, skip_self, self.codes, timed)
+        nodes, pages, codes = self._paged()
+        found = disk.page_search(q, self.graph, nodes, pages, k, list_size, beam, self.book, reuse_pages, cache, self.hidden, None, skip_self, codes, timed, self._routes(q, probes))
         return self._reported(found, queries)
 
     def range_search(self, queries: DataFrame, radius: float, **options) -> DataFrame:
         if self.params.metric != "l2":
             raise ValueError("range search is defined for l2")
-        return disk.range_search(queries, self.graph, self.rows, self.layout, radius, book=self.book, codes=self.codes, **options)
+        nodes, pages, codes = self._paged()
+        return disk.range_search(queries, self.graph, nodes, pages, radius, book=self.book, codes=codes, **options)
 
     def cache(self, kind: str = "none", sample: DataFrame | None = None, share: float = 0.1, list_size: int = 15, beam: int = 4) -> DataFrame | None:
         """(id) of nodes to keep at hand: none, levels (nearest to the entries by edges), or queries (most visited by a sample)."""
@@ -247,7 +268,7 @@ def simulate_paths(index: Index, queries: DataFrame, list_size: int = 64, most:
     from ..operators.graph import _by_id, local_graph
     from ..operators.kernels import greedy_search
 
-    held = index.graph.join(index.rows, "id").select("shard", "id", "vec", "nbrs", "entry")
+    held = index.graph.join(index.nodes(), "id").select("shard", "id", "vec", "nbrs", "entry")
     routes = cluster.nearest_centers(queries, index.centers, 1).select("id", F.col("center").alias("shard"))
     q = select_vectors(queries, "id", "vec").join(routes, "id")
 
@@ -258,7 +279,8 @@ def simulate_paths(index: Index, queries: DataFrame, list_size: int = 64, most:
             ids, vecs, nbrs, starts = local_graph(t)
             s = t.column("shard")[0].as_py()
             for qid, v in zip(qs.column("id").to_pylist(), matrix(qs.column("vec"))):
-                seen = greedy_search(vecs, nbrs, starts, v, list_size)[1][:most]
+                seen = greedy_search(vecs, nbrs, starts, v, list_size)[1]
+                seen = seen[ids[seen] >= 0][:most]
                 path += [qid] * len(seen)
                 pos += range(len(seen))
                 node += ids[seen].tolist()

@@ -263,12 +263,18 @@ def test_index_life_cycle(spark, data, tmp_path):
         I.build_index(b, I.IndexParams(9))
 
 
+def spark_routes(q):
+    return q.select(F.col("id").alias("query_id"), F.lit(0).alias("shard"))
+
+
 def test_queries_of_a_popular_shard_in_blocks(data, built, monkeypatch):
     _, b = data
     _, _, g = built
     q = b.filter("id % 3 = 0")
     lay = L.identity_layout(b, 10)
     whole, paged = (x.collect() for x in (G.search(q, g, b, 5, 20).orderBy("query_id", "rank"), disk.page_search(q, g, b, lay, 5, 20).orderBy("query_id", "rank")))
+    routes = spark_routes(q)
+    assert disk.page_search(q, g, b, lay, 5, 20, routes=routes).select("query_id").distinct().count() == q.count()
     monkeypatch.setattr(G.meet, "__defaults__", (7,))
     assert G.search(q, g, b, 5, 20).orderBy("query_id", "rank").collect() == whole
     assert disk.page_search(q, g, b, lay, 5, 20).orderBy("query_id", "rank").collect() == paged
@@ -317,6 +323,9 @@ def test_frozen_starts_code_distances_and_saturation(spark, data, built):
     assert full > G.build_sharded(b, members, P).agg(F.avg(F.size("nbrs"))).first()[0]
     index = I.build_index(b, I.IndexParams(8, build=P, shards=2, start_norm=1.5, chunks=4, codes=32, code_build=True))
     assert evaluate.recall_at(index.search(q, 5, 60), exact.knn_join(q, b, 5), 5).first().recall >= 90 and index.status().first().rows == 400
+    paged = index.page_search(q, 5, 60)
+    assert evaluate.recall_at(paged, exact.knn_join(q, b, 5), 5).first().recall >= 80 and paged.filter("id < 0").count() == 0
+    assert index.range_search(q, 4.0).filter("id < 0").count() == 0 and index.cache("queries", q).filter("id < 0").count() == 0
     with pytest.raises(ValueError):
         I.IndexParams(8, code_build=True)
 
