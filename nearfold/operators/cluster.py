@@ -109,29 +109,67 @@ def training_rows(rows: DataFrame, most: int = TRAIN_ROWS, row_id: str = "id", v
     """
     v, draw = select_vectors(rows, row_id, vec), F.pmod(F.xxhash64("id"), F.lit(1 << 53))
     few = v.filter(draw < int(min(1.0, (1.5 * most + 100) / max(v.count(), 1)) * (1 << 53)))
-    return matrix(few.orderBy(draw, "id").limit(most).select("vec").toArrow().column("vec"))
+    column = few.orderBy(draw, "id").limit(most).select("vec").toArrow().column("vec")
+    if not len(column):
+        return matrix(column)
+    # Chunk by chunk: the vectors are held twice, not three times.
+    out, at = np.empty((len(column), len(column[0]))), 0
+    for chunk in column.chunks:
+        if len(chunk):
+            x = matrix(chunk)
+            if x.shape[1] != out.shape[1]:
+                raise ValueError("vectors of a table must be non-null and of one length")
+            out[at : at + len(x)] = x
+            at += len(x)
+    return out
+
+
+#: Elements of a block of distances that the driver computes at once: 32 MB, and some such temporaries.
+GRID_ELEMENTS = 4_000_000
+
+
+def _blocks(n: int, width: int):
+    """Slices of n rows whose blocks of ``width`` columns have at most ``GRID_ELEMENTS`` elements."""
+    step = max(1, GRID_ELEMENTS // max(width, 1))
+    return (slice(lo, min(n, lo + step)) for lo in range(0, n, step))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x from the row y."""
+    out = np.empty(len(x))
+    for b in _blocks(len(x), x.shape[1]):
+        out[b] = ((x[b] - y) ** 2).sum(1)
+    return out
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, float]:
+    """The nearest centre of each row and the sum of squared distances to them, a block of rows at a time."""
+    near, apart = np.empty(len(x), np.int64), np.empty(len(x))
+    for b in _blocks(len(x), max(centers.shape)):
+        near[b] = METRICS["l2"].grid(x[b], centers).argmin(1)
+        apart[b] = ((x[b] - centers[near[b]]) ** 2).sum(1)
+    return near, float(apart.sum())
 
 
 def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means++ seeding; repeats rows if there are fewer distinct ones."""
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(x)))]
-    d = ((x - x[chosen[0]]) ** 2).sum(1)
+    d = _apart(x, x[chosen[0]])
     while len(chosen) < k:
         total = d.sum()
         nxt = int(rng.integers(len(x))) if total <= 0 else int(np.searchsorted(np.cumsum(d), rng.random() * total, "right"))
         nxt = min(nxt, len(x) - 1)
         chosen.append(nxt)
-        d = np.minimum(d, ((x - x[nxt]) ** 2).sum(1))
+        d = np.minimum(d, _apart(x, x[nxt]))
     return x[chosen].copy()
 
 
 def lloyd_local(x: np.ndarray, centers: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Lloyd on a bounded matrix until a relative gain below 1e-5: (centres, assignment, residual)."""
+    """Lloyd on a bounded matrix until a relative gain below 1e-5: (centres, assignment, residual). Beyond x it needs blocks of bounded size."""
     before = math.inf
     for i in range(rounds):
-        near = METRICS["l2"].grid(x, centers).argmin(1)
-        residual = float(((x - centers[near]) ** 2).sum())
+        near, residual = _nearest(x, centers)
         n = np.bincount(near, minlength=len(centers))
         sums = np.zeros_like(centers)
         np.add.at(sums, near, x)
@@ -139,8 +177,7 @@ def lloyd_local(x: np.ndarray, centers: np.ndarray, rounds: int) -> tuple[np.nda
         if residual < np.finfo(np.float32).eps or i and (before - residual) / before < 1e-5:
             break
         before = residual
-    near = METRICS["l2"].grid(x, centers).argmin(1)
-    return centers, near, float(((x - centers[near]) ** 2).sum())
+    return centers, *_nearest(x, centers)
 
 
 def kmeans(rows: DataFrame, k: int, rounds: int = 10, seed: int = 1, train_rows: int = TRAIN_ROWS, row_id: str = "id", vec: str = "vec") -> np.ndarray:

@@ -383,3 +383,17 @@ def test_numbers_are_dense_and_in_order(spark):
         got = L.number_globally(rows, ["x"], "n", buckets).orderBy("x").collect()
         assert [(r.x, r.n) for r in got] == [(i, i) for i in range(1000)]
     assert L.number_globally(rows.filter("false"), ["x"], "n").count() == 0
+
+
+def test_centres_are_trained_in_bounded_blocks():
+    """Many centres for many rows: no matrix of all distances, and what one would give."""
+    import tracemalloc
+
+    x = np.round(np.random.default_rng(0).standard_normal((30_000, 8)) * 64) / 64
+    tracemalloc.start()
+    centers, near, residual = cluster.lloyd_local(x, cluster.plus_plus(x, 600, 1), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000 * 600 * 8
+    grid = ((x[:500, None] - centers) ** 2).sum(2)
+    assert np.allclose(grid[np.arange(500), near[:500]], grid.min(1)) and np.isclose(residual, ((x - centers[near]) ** 2).sum())
